@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from srcgraph.llm.decontaminate import op1_decontamination
 from srcgraph.llm.near_dedup import op9_near_dedup
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op9_near_dedup": op9_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
