@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from srcgraph.llm.decontaminate import op1_decontamination
 from srcgraph.llm.near_dedup import op9_near_dedup
+from srcgraph.llm.quality import op7_quality
+from srcgraph.llm.tokens import op5_token_ids
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op5_token_ids": op5_token_ids,
+    "op7_quality": op7_quality,
     "op9_near_dedup": op9_near_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
