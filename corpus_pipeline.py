@@ -1,23 +1,58 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again as the next one's input.
+
+Every stage works on all rows that its predecessor kept, and all but the last return the columns of documents. Nulls,
+empty and very long texts, repeated rows, empty tables and extra columns are handled as the stages' operators say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from srcgraph.llm import common as C
-from srcgraph.llm import near_dedup
+from srcgraph.llm import decontaminate, mixing, near_dedup, quality, tokens
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones among ``docs``, doesn't reject."""
+    return quality.drop_low_quality(docs, C.table(spark, sf_dir, "labels"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, and all that have none."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark`` within its error budget."""
+    return decontaminate.drop_leaks(docs, C.table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose first token is in a block that its source was given."""
+    return mixing.Mix(docs).keep(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token ids in Simple-8b words."""
+    return tokens.token_ids(docs)
+
 
 STAGES = [
-    ("near_dedup", lambda spark, docs, sf_dir: near_dedup.drop_near_duplicates(docs)),
+    ("quality", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+    ("token_ids", token_stage),
 ]
+#: SQL can express neither the classifier, nor the sketches, nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over ``documents`` of ``sf_dir``."""
     docs = C.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         path = C.scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

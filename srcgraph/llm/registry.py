@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from srcgraph.llm.decontaminate import op1_decontamination
+from srcgraph.llm.mixing import OP10_SQL, op10_mixing
 from srcgraph.llm.near_dedup import op9_near_dedup
 from srcgraph.llm.quality import op7_quality
 from srcgraph.llm.tokens import op5_token_ids
@@ -12,5 +13,6 @@ QUERIES = {
     "op5_token_ids": op5_token_ids,
     "op7_quality": op7_quality,
     "op9_near_dedup": op9_near_dedup,
+    "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_mixing": OP10_SQL}
