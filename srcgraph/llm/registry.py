@@ -7,9 +7,13 @@ from srcgraph.llm.mixing import OP10_SQL, op10_mixing
 from srcgraph.llm.near_dedup import op9_near_dedup
 from srcgraph.llm.quality import op7_quality
 from srcgraph.llm.tokens import op5_token_ids
+from srcgraph.llm.urls import op3_url_filter
+from srcgraph.llm.warc import op4_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_url_filter": op3_url_filter,
+    "op4_warc": op4_warc,
     "op5_token_ids": op5_token_ids,
     "op7_quality": op7_quality,
     "op9_near_dedup": op9_near_dedup,
