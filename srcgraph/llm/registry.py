@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from srcgraph.llm.audio import op8_audio
 from srcgraph.llm.decontaminate import op1_decontamination
+from srcgraph.llm.language import op6_language
 from srcgraph.llm.mixing import OP10_SQL, op10_mixing
 from srcgraph.llm.near_dedup import op9_near_dedup
 from srcgraph.llm.quality import op7_quality
@@ -15,7 +17,9 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_warc": op4_warc,
     "op5_token_ids": op5_token_ids,
+    "op6_language": op6_language,
     "op7_quality": op7_quality,
+    "op8_audio": op8_audio,
     "op9_near_dedup": op9_near_dedup,
     "op10_mixing": op10_mixing,
 }
