@@ -41,10 +41,10 @@ def resolve_names(refs: DataFrame, names: DataFrame, bindings: DataFrame, rounds
     every = now
     for _ in range(rounds):
         parts = now.select("ref", "at", F.posexplode(F.split("at", "\\.")).alias("i", "_p"))
-        cuts = parts.select("ref", "at", F.expr("array_join(slice(split(at, '\\\\.'), 1, i + 1), '.')").alias("head"), F.col("i"))
-        rest = F.expr("substring(at, length(head) + 1)")
-        to = cuts.join(plain, cuts.head == plain.dotted).groupBy("ref", "at").agg(F.max_by(F.concat("target", rest), "i").alias("to")).select("ref", F.col("to").alias("at"), F.lit(0).alias("star"))
-        by_star = cuts.join(star, cuts.head == star.dotted).filter(F.length(rest) > 0).select("ref", F.concat("target", rest).alias("at"), F.lit(1).alias("star"))
+        cuts = parts.select("ref", "at", F.expr("array_join(slice(split(at, '\\\\.'), 1, i + 1), '.')").alias("_front"), F.col("i"))
+        rest = F.expr("substring(at, length(_front) + 1)")
+        to = cuts.join(plain, F.col("_front") == F.col("dotted")).groupBy("ref", "at").agg(F.max_by(F.concat("target", rest), "i").alias("to")).select("ref", F.col("to").alias("at"), F.lit(0).alias("star"))
+        by_star = cuts.join(star, F.col("_front") == F.col("dotted")).filter(F.length(rest) > 0).select("ref", F.concat("target", rest).alias("at"), F.lit(1).alias("star"))
         now = R.cut(to.union(by_star).distinct().join(every.select("ref", "at").distinct(), ["ref", "at"], "left_anti"))
         if now.isEmpty():
             break
