@@ -62,7 +62,7 @@ class _Reader(DataSourceReader):
         self.one = options.get("file")
         self.skip_tests = str(options.get("skip_tests", "false")).lower() == "true"
         self.skip_dirs = tuple(x for x in options.get("skip_dirs", ",".join(SKIP_DIRS)).split(",") if x)
-        self.per = int(options.get("files_per_partition", "64"))
+        self.per = int(options.get("files_per_partition", "16"))
         self.wanted: list[Filter] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
