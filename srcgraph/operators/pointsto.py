@@ -4,13 +4,17 @@ Pointers are variables, parameters, results, and attributes of classes; values a
 modules and external names. Rules are applied pass after pass until nothing is added or ``max_iter`` is reached (-1: no
 bound). A pass looks only at facts whose inputs grew in the one before. Each shard of files is solved in a task of its own,
 so a project's shards run side by side; edges of shards are then coalesced.
+
+A shard whose facts pass ``MAX_FACTS`` has run away: it gives no edges, and ``decomposed_edges`` plans its files again with half
+the budget, until they come to an end or can't be taken apart further. A count decides, not a clock, so results
+are the same on any machine.
 """
 
 from __future__ import annotations
 
 import builtins
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,15 +23,21 @@ from pyspark.sql import functions as F
 from srcgraph import schemas
 from srcgraph.operators import callgraph
 from srcgraph.operators.relations import modules, relation
+from srcgraph.runtime import cut
 
-MAX_ITER, WHOLE_PROJECT_FILES = 50, 500
+MAX_ITER, WHOLE_PROJECT_FILES, MAX_FACTS = 50, 500, 20_000_000
 _BUILTINS = frozenset(dir(builtins))
 
 
+class Runaway(Exception):
+    """More facts than a shard may have."""
+
+
 class Solver:
     """The facts of one set of files. Values are (kind, name, self): function, method, class, instance, module or external."""
 
-    def __init__(self, flows: Iterable[tuple], files: dict[str, str], bindings: dict[str, str]):
+    def __init__(self, flows: Iterable[tuple], files: dict[str, str], bindings: dict[str, str], max_facts: int = MAX_FACTS):
+        self.facts, self.max_facts = 0, max_facts
         #: import path -> what its pointers begin with
         self.files, self.bindings = files, bindings
         self.points: dict[str, set[tuple]] = defaultdict(set)
@@ -79,6 +89,9 @@ class Solver:
         if value not in self.points[pointer]:
             self.points[pointer].add(value)
             self.changed.add(pointer)
+            self.facts += 1
+            if self.facts > self.max_facts:
+                raise Runaway
 
     def link(self, source: str, target: str) -> None:
         if source != target and target not in self.to[source]:
@@ -249,14 +262,15 @@ class Solver:
         return self.edges
 
 
-def points_to_edges(extracted: DataFrame, shards: DataFrame | None = None, max_iter: int = MAX_ITER) -> DataFrame:
-    """Call edges by points-to analysis; ``shards`` (shard_id, file_key), or all files as one."""
+def _solved(extracted: DataFrame, shards: DataFrame | None, max_iter: int, max_facts: int) -> DataFrame:
+    """(source, target, shard_id) of each shard's edges; one row of nulls and its id for a shard that ran away."""
     flows = relation(extracted, "flows")
     of = modules(extracted).select("file_key", "dotted")
     binds = relation(extracted, "bindings")
-    rows = flows.select("file_key", "kind", "a", "b", "c", "n").unionByName(binds.select("file_key", F.lit("bind").alias("kind"), F.col("dotted").alias("a"), F.col("target").alias("b"), F.lit(None).cast("string").alias("c"), F.lit(0).alias("n")))
+    none = F.lit(None).cast("string").alias("c")
+    rows = flows.select("file_key", "kind", "a", "b", "c", "n").unionByName(binds.select("file_key", F.lit("bind").alias("kind"), F.col("dotted").alias("a"), F.col("target").alias("b"), none, F.lit(0).alias("n")))
     base = F.regexp_replace(F.replace(F.regexp_replace("file_key", "^/", ""), F.lit("/"), F.lit(".")), r"\.py$", "")
-    rows = rows.unionByName(of.select("file_key", F.lit("file").alias("kind"), F.col("dotted").alias("a"), base.alias("b"), F.lit(None).cast("string").alias("c"), F.lit(0).alias("n")))
+    rows = rows.unionByName(of.select("file_key", F.lit("file").alias("kind"), F.col("dotted").alias("a"), base.alias("b"), none, F.lit(0).alias("n")))
     rows = rows.join(shards.select("file_key", "shard_id"), "file_key") if shards is not None else rows.withColumn("shard_id", F.lit(0))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -264,14 +278,44 @@ def points_to_edges(extracted: DataFrame, shards: DataFrame | None = None, max_i
         facts = [(k, a, b, c if isinstance(c, str) else None, int(n)) for k, a, b, c, n in sorted(zip(pdf.kind, pdf.a, pdf.b, pdf.c, pdf.n), key=str)]
         files = {a: b for k, a, b, _, _ in facts if k == "file"}
         bindings = {a: b for k, a, b, _, _ in facts if k == "bind"}
-        edges = Solver((f for f in facts if f[0] not in ("file", "bind")), files, bindings).solve(max_iter)
-        return pd.DataFrame([(s, t, shard) for s, t in sorted(edges)], columns=["source", "target", "shard_id"])
+        try:
+            edges = sorted(Solver((f for f in facts if f[0] not in ("file", "bind")), files, bindings, max_facts).solve(max_iter))
+        except Runaway:
+            edges = [(None, None)]
+        return pd.DataFrame([(s, t, shard) for s, t in edges], columns=["source", "target", "shard_id"])
+
+    return rows.groupBy("shard_id").applyInPandas(run, "source string, target string, shard_id int")
+
 
-    got = rows.groupBy("shard_id").applyInPandas(run, "source string, target string, shard_id int")
-    e = got.select("source", "target", F.lit("CALL_DEP").alias("type"), F.lit(1).cast("long").alias("weight"), F.array(F.lit(callgraph.LEVEL_2)).alias("provenance"), "shard_id")
+def _edges(solved: DataFrame) -> DataFrame:
+    e = solved.filter("source IS NOT NULL").select("source", "target", F.lit("CALL_DEP").alias("type"), F.lit(1).cast("long").alias("weight"), F.array(F.lit(callgraph.LEVEL_2)).alias("provenance"), "shard_id")
     return callgraph.coalesce_edges(e, "shard_id").withColumn("weight", F.lit(1).cast("long"))
 
 
+def points_to_edges(extracted: DataFrame, shards: DataFrame | None = None, max_iter: int = MAX_ITER, max_facts: int = MAX_FACTS) -> DataFrame:
+    """Call edges by points-to analysis; ``shards`` (shard_id, file_key), or all files as one. Shards that run away give none."""
+    return _edges(_solved(extracted, shards, max_iter, max_facts))
+
+
+def decomposed_edges(extracted: DataFrame, shards: DataFrame, replan: Callable[[DataFrame, int], DataFrame], budgets: list[int], max_iter: int = MAX_ITER, max_facts: int = MAX_FACTS) -> DataFrame:
+    """``points_to_edges`` of ``shards``, with those that run away planned again: ``replan(files, budget)`` for each further budget.
+
+    A file that runs away on its own stays without level-2 edges.
+    """
+    found, left = None, shards.select("shard_id", "file_key")
+    for i, budget in enumerate(budgets):
+        if i:
+            left = cut(replan(left.select("file_key"), budget).select("shard_id", "file_key"))
+        solved = cut(_solved(extracted, left, max_iter, max_facts))
+        found = solved if found is None else found.unionByName(solved)
+        failed = solved.filter("source IS NULL").select("shard_id")
+        several = left.groupBy("shard_id").agg(F.count("*").alias("n")).filter("n > 1").select("shard_id")
+        left = cut(left.join(failed, "shard_id", "left_semi").join(several, "shard_id", "left_semi"))
+        if left.isEmpty():
+            break
+    return _edges(found)
+
+
 def solve_sources(sources: dict[str, str], max_iter: int = MAX_ITER) -> set[tuple[str, str]]:
     """The same on sources in memory, by relative path; for tests and small uses."""
     from srcgraph.operators.extract import dotted_path, extract_module, import_path

@@ -111,6 +111,10 @@ class CodeModel:
     def level_1(self) -> DataFrame:
         return cut(callgraph.call_edges(self.call_sites))
 
+    @cached_property
+    def module_graph(self) -> DataFrame:
+        return cut(callgraph.module_graph(self.level_1, relations.signature_to_file(self.callables, self.classes)))
+
     @cached_property
     def shard_assignment(self) -> DataFrame:
         """(shard_id, file_key): by coupling or by package."""
@@ -121,8 +125,7 @@ class CodeModel:
             ids = roots.select(own.alias("package"), "file_key")
             small = ids.groupBy("package").agg(F.count("*").alias("n"), F.abs(F.hash("package")).alias("shard_id"))
             return ids.join(small.filter(F.col("n") <= o.shard_budget), "package").select("shard_id", "file_key")
-        graph = callgraph.module_graph(self.level_1, relations.signature_to_file(self.callables, self.classes))
-        return cut(shards.plan_shards(self.modules, graph, o.shard_budget))
+        return cut(shards.plan_shards(self.modules, self.module_graph, o.shard_budget))
 
     @cached_property
     def level_2(self) -> DataFrame:
@@ -134,7 +137,9 @@ class CodeModel:
         if not o.shard:
             log.warning("%d files are over the limit of %d for one level-2 analysis, and sharding is off: level 1 only", n, pointsto.WHOLE_PROJECT_FILES)
             return self.level_1.limit(0)
-        return cut(pointsto.points_to_edges(self.extracted, self.shard_assignment, o.max_iter))
+        graph = self.module_graph
+        replan = lambda files, budget: shards.plan_shards(files, graph.join(files.select(F.col("file_key").alias("src_file")), "src_file", "left_semi").join(files.select(F.col("file_key").alias("dst_file")), "dst_file", "left_semi"), budget)
+        return cut(pointsto.decomposed_edges(self.extracted, self.shard_assignment, replan, shards.budgets(o.shard_budget), o.max_iter))
 
     @cached_property
     def call_edges(self) -> DataFrame:

@@ -1,6 +1,7 @@
 """Points-to call edges on own sources with the features that matter."""
 
-from srcgraph.operators.pointsto import solve_sources
+from srcgraph.operators.extract import extract
+from srcgraph.operators.pointsto import decomposed_edges, points_to_edges, solve_sources
 
 
 def edges(source, name="m.py"):
@@ -41,3 +42,21 @@ def test_imports_across_files_and_reexports():
 def test_result_is_the_same_every_time_and_mutual_recursion_ends():
     source = "".join(f"def f{i}(g): return f{(i + 1) % 50}(f{(i + 7) % 50}) or g(g)\n" for i in range(50))
     assert edges(source) == edges(source)
+
+
+def test_shards_that_run_away_are_taken_apart(spark):
+    ring = "".join(f"def f{i}(g): return f{(i + 1) % 30}(f{(i + 7) % 30}) or g(g)\n" for i in range(30))
+    sources = {"a.py": "def f(): return 1\ndef main(): f()\n", "b.py": "def g(): return 2\ndef main(): g()\n", "wild.py": ring}
+    df = spark.createDataFrame(list(sources.items()), "file_key string, source string").selectExpr("file_key", "source", "0D AS last_modified", "1L AS file_size", "'h' AS content_hash", "CAST(NULL AS STRING) AS error")
+    x = extract(df)
+    one = x.selectExpr("0 AS shard_id", "file_key")
+    asked = []
+
+    def replan(files, budget):
+        asked.append(sorted(r.file_key for r in files.collect()))
+        return files.selectExpr("abs(hash(file_key)) AS shard_id", "file_key")
+
+    assert points_to_edges(x, one, max_facts=60).count() == 0
+    got = {(r.source, r.target) for r in decomposed_edges(x, one, replan, [3, 1], max_facts=60).collect()}
+    assert got == {("a.main", "a.f"), ("b.main", "b.g")} and asked == [["a.py", "b.py", "wild.py"]]
+    assert points_to_edges(x, one).count() > 30
