@@ -10,12 +10,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcgraph.operators import propgraph
-from srcgraph.runtime import cut
+from srcgraph.runtime import current, cut, publish
 
 _NODE = "labels array<string>, key_prop string, value string, props map<string,string>, app string, module string"
 _EDGE = "type string, from_label string, from_key string, from_value string, to_label string, to_key string, to_value string, props map<string,string>, app string"
@@ -51,9 +50,8 @@ class GraphStore:
         self.spark, self.path = spark, path.rstrip("/")
 
     def read(self) -> tuple[DataFrame, DataFrame]:
-        try:
-            version = self.spark.read.text(f"{self.path}/current").first().value
-        except AnalysisException:
+        version = current(self.spark, self.path)
+        if version is None:
             return self.spark.createDataFrame([], _NODE), self.spark.createDataFrame([], _EDGE)
         return self.spark.read.schema(_NODE).parquet(f"{self.path}/{version}/nodes"), self.spark.read.schema(_EDGE).parquet(f"{self.path}/{version}/edges")
 
@@ -91,4 +89,4 @@ class GraphStore:
         version = f"v-{uuid.uuid4().hex}"
         after.write.parquet(f"{self.path}/{version}/nodes")
         merged.select(*old_edges.columns).write.parquet(f"{self.path}/{version}/edges")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
+        publish(self.spark, self.path, version)

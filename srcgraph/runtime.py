@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,3 +35,17 @@ def cut(df: DataFrame) -> DataFrame:
 def sized(df: DataFrame, width: int) -> DataFrame:
     """``df`` to be broadcast if its rows, of about ``width`` bytes, take at most ``BROADCAST_BYTES``; counts them."""
     return F.broadcast(df) if df.count() * width <= BROADCAST_BYTES else df
+
+
+def publish(spark: SparkSession, path: str, version: str) -> None:
+    """Make ``version`` the current one of ``path``: one appended row, so that until it is there the one before counts."""
+    spark.createDataFrame([(time.time_ns(), version)], "at long, version string").coalesce(1).write.mode("append").parquet(f"{path}/versions")
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The version that was published last, or None."""
+    try:
+        last = spark.read.schema("at long, version string").parquet(f"{path}/versions").agg(F.max_by("version", "at")).first()
+    except AnalysisException:
+        return None
+    return last[0] if last else None

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from srcgraph import schemas
+from srcgraph import runtime, schemas
 from srcgraph.operators.extract import extract
 
 
@@ -20,18 +19,15 @@ def unchanged(files: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
-    """What is cached, or None. ``current`` names the version, so a half-written one is never read."""
-    try:
-        version = spark.read.text(f"{path}/current").first()
-        return spark.read.schema(schemas.struct(schemas.EXTRACTED)).parquet(f"{path}/{version.value}") if version else None
-    except AnalysisException:
-        return None
+    """What is cached, or None; a half-written version is never read."""
+    version = runtime.current(spark, path)
+    return spark.read.schema(schemas.struct(schemas.EXTRACTED)).parquet(f"{path}/{version}") if version else None
 
 
 def write_cache(extracted: DataFrame, path: str) -> None:
     version = f"v-{uuid.uuid4().hex}"
     extracted.write.parquet(f"{path}/{version}")
-    extracted.sparkSession.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    runtime.publish(extracted.sparkSession, path, version)
 
 
 def extract_changed(files: DataFrame, cached: DataFrame | None, compat: bool = False) -> DataFrame:
