@@ -10,7 +10,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from srcgraph.operators import propgraph, shards
-from srcgraph.operators.pointsto import MAX_ITER
+from srcgraph.operators.pointsto import MAX_FACTS, MAX_ITER
 from srcgraph.operators.store import GraphStore
 from srcgraph.plans.engine import AnalysisError, Engine, Options
 from srcgraph.sources import sinks
@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--shard-budget", type=int, default=shards.BUDGET)
     p.add_argument("--shard-strategy", choices=["coupling", "package"], default="coupling")
     p.add_argument("--max-iter", type=int, default=MAX_ITER)
+    p.add_argument("--max-facts", type=int, default=MAX_FACTS, help="points-to facts after which a shard is planned again, smaller")
     p.add_argument("--store", help="graph store to push to, with --emit graph")
     p.add_argument("--compat", action="store_true", help="observed instead of documented behaviour, see operators.extract")
     p.add_argument("--strict", action="store_true", help="stop at the first file that can't be parsed")

@@ -49,6 +49,7 @@ class Options:
     shard_budget: int = shards.BUDGET
     shard_strategy: str = "coupling"
     max_iter: int = pointsto.MAX_ITER
+    max_facts: int = pointsto.MAX_FACTS
     store: str | None = None
     compat: bool = False
     strict: bool = False
@@ -64,6 +65,7 @@ class Options:
                 (self.shard_budget < 1, "shard_budget must be at least 1"),
                 (self.shard_strategy not in ("coupling", "package"), "shard_strategy must be coupling or package"),
                 (self.max_iter < -1, "max_iter must be at least -1"),
+                (self.max_facts < 1, "max_facts must be at least 1"),
             )
             if bad
         ]
@@ -133,13 +135,13 @@ class CodeModel:
         o = self.options
         n = self.modules.count()
         if n <= pointsto.WHOLE_PROJECT_FILES:
-            return cut(pointsto.points_to_edges(self.extracted, None, o.max_iter))
+            return cut(pointsto.points_to_edges(self.extracted, None, o.max_iter, o.max_facts))
         if not o.shard:
             log.warning("%d files are over the limit of %d for one level-2 analysis, and sharding is off: level 1 only", n, pointsto.WHOLE_PROJECT_FILES)
             return self.level_1.limit(0)
         graph = self.module_graph
         replan = lambda files, budget: shards.plan_shards(files, graph.join(files.select(F.col("file_key").alias("src_file")), "src_file", "left_semi").join(files.select(F.col("file_key").alias("dst_file")), "dst_file", "left_semi"), budget)
-        return cut(pointsto.decomposed_edges(self.extracted, self.shard_assignment, replan, shards.budgets(o.shard_budget), o.max_iter))
+        return cut(pointsto.decomposed_edges(self.extracted, self.shard_assignment, replan, shards.budgets(o.shard_budget), o.max_iter, o.max_facts))
 
     @cached_property
     def call_edges(self) -> DataFrame:

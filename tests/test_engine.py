@@ -59,6 +59,18 @@ def test_model_and_call_graph(spark, project):
     assert [r.file_key for r in m.parse_errors.collect()] == ["bad.py"]
 
 
+def test_sharded_level_2_has_the_edges_of_its_shards(spark, project, monkeypatch):
+    from srcgraph.operators import pointsto
+
+    whole = {(r.source, r.target) for r in analyse(spark, project, level=2).level_2.collect()}
+    monkeypatch.setattr(pointsto, "WHOLE_PROJECT_FILES", 1)
+    assert analyse(spark, project, level=2).level_2.count() == 0
+    sharded = {(r.source, r.target) for r in analyse(spark, project, level=2, shard=True).level_2.collect()}
+    assert sharded == whole
+    wild = {(r.source, r.target) for r in analyse(spark, project, level=2, shard=True, max_facts=1).level_2.collect()}
+    assert wild == set()
+
+
 def test_document_script_and_contract(spark, project, tmp_path):
     m = analyse(spark, project)
     doc = json.loads(open(sinks.write_json(m, str(tmp_path / "o"))).read())
