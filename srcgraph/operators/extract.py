@@ -46,8 +46,7 @@ def own_scope_calls(fn: ast.AST) -> Iterator[ast.Call]:
     """Calls that run in a function's own scope, in pre-order: not those of nested bodies, but those of nested decorators, defaults, annotations of results, bases and class keywords."""
 
     def visit(node: ast.AST) -> Iterator[ast.Call]:
-        if isinstance(node, ast.Call):
-            yield node
+        yield from [node] if isinstance(node, ast.Call) else ()
         if isinstance(node, _DEFS):
             a = node.args
             inside = [*node.decorator_list, *a.defaults, *(d for d in a.kw_defaults if d), *([node.returns] if node.returns else [])]
@@ -62,7 +61,8 @@ def own_scope_calls(fn: ast.AST) -> Iterator[ast.Call]:
         yield from visit(stmt)
 
 
-_ONE = (ast.If, ast.For, ast.While, ast.With, ast.Try, ast.IfExp, ast.ExceptHandler, ast.Assert, ast.Return, ast.Yield, ast.YieldFrom)
+#: Nodes that count one each.
+_ONE = tuple(getattr(ast, kind) for kind in "If IfExp For While With Try ExceptHandler Assert Return Yield YieldFrom".split())
 
 
 def complexity(fn: ast.AST) -> int:
@@ -126,7 +126,7 @@ class _File:
         self.order += 1
         return self.order
 
-    # --- scopes -----------------------------------------------------------------------------------------------------
+    # scopes
 
     def absolute(self, module: str | None, level: int) -> str:
         if not level:
@@ -163,10 +163,10 @@ class _File:
                     if isinstance(t, ast.Name):
                         assigned.append((t.id, node.value))
                     else:
-                        assigned += [(x.id, None) for x in ast.walk(t) if isinstance(x, ast.Name) and isinstance(x.ctx, ast.Store)]
+                        assigned += [(x.id, None) for x in ast.walk(t) if isinstance(getattr(x, "ctx", None), ast.Store) and isinstance(x, ast.Name)]
             elif isinstance(node, ast.AnnAssign) and isinstance(node.target, ast.Name):
                 assigned.append((node.target.id, node.value if node.value is not None else ast.Call(node.annotation, [], [])))
-            elif isinstance(node, ast.Name) and isinstance(node.ctx, ast.Store):
+            elif isinstance(getattr(node, "ctx", None), ast.Store) and isinstance(node, ast.Name):
                 scope.bound.setdefault(node.id, ("variable", None))
             todo = [*ast.iter_child_nodes(node), *todo]
         for name, value in assigned:
@@ -209,7 +209,7 @@ class _File:
             return ("instance", ref) if kind == "class" or (kind == "import" and ref and ref.rpartition(".")[2][:1].isupper()) else ("unknown", None)
         return "unknown", None
 
-    # --- relations --------------------------------------------------------------------------------------------------
+    # relations
 
     def run(self) -> dict[str, list[dict]]:
         scope = _Scope("module", self.base, None)
@@ -259,9 +259,7 @@ class _File:
         while level:  # breadth first, not into definitions
             below: list[ast.AST] = []
             for node in level:
-                for child in ast.iter_child_nodes(node):
-                    if isinstance(child, (*_DEFS, ast.ClassDef)):
-                        continue
+                for child in filter(lambda n: not isinstance(n, (*_DEFS, ast.ClassDef)), ast.iter_child_nodes(node)):
                     targets = child.targets if isinstance(child, ast.Assign) else [child.target] if isinstance(child, ast.AnnAssign) else []
                     for t in targets:
                         if isinstance(t, ast.Name):
@@ -307,7 +305,7 @@ class _File:
                     continue
                 type_ = _text(stmt.annotation) if isinstance(stmt, ast.AnnAssign) else self.type_of(inner, stmt.value)
                 found[t.id] = {"name": t.id, "type": type_, "start_line": t.lineno, "end_line": stmt.end_lineno}
-                if t.id == "__slots__" and not self.compat and isinstance(stmt.value, (ast.List, ast.Tuple)):
+                if t.id == "__slots__" and not self.compat and hasattr(stmt.value, "elts"):
                     for slot in stmt.value.elts:
                         if isinstance(slot, ast.Constant) and isinstance(slot.value, str):
                             found[slot.value] = {"name": slot.value, "type": None, "start_line": slot.lineno, "end_line": slot.end_lineno}
@@ -406,7 +404,7 @@ class _File:
                 end_column=call.end_col_offset,
             )
 
-    # --- flows ------------------------------------------------------------------------------------------------------
+    # flows
 
     def temp(self, node: ast.AST, what: str) -> str:
         return f"{self.base}#{node.lineno}:{node.col_offset}-{node.end_lineno}:{node.end_col_offset}::{what}"
@@ -554,7 +552,7 @@ class _File:
             self.add("flows", kind="arg", a=call, b=p, c="", n=0)
             self.assign(p, call)
 
-    # --- definitions of one name --------------------------------------------------------------------------------------
+    # definitions of one name
 
     def keep_last(self) -> None:
         """Of definitions of one kind and name in one scope the last stays; the others go with all that they hold."""

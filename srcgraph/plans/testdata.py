@@ -23,7 +23,7 @@ def _s(*parts) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) and not p.startswith("$") else F.col(p[1:]).cast("string") if isinstance(p, str) else p for p in parts])
 
 
-# --- facts ----------------------------------------------------------------------------------------------------------
+# facts
 
 
 def modules(spark: SparkSession, d: str) -> DataFrame:
@@ -113,7 +113,7 @@ def with_facts(sql: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{FACTS_SQL}{sql}"
 
 
-# --- source ---------------------------------------------------------------------------------------------------------
+# source
 
 
 def _customers(spark: SparkSession, d: str) -> DataFrame:

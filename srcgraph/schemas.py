@@ -6,12 +6,12 @@ the file's pre-order, so anything that depends on order says so. Positions that
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import types as T
 
-SCOPES = ("local", "nonlocal", "global", "class", "module")
-KINDS = ("variable", "parameter", "attribute", "function", "class", "module")
+SCOPES = tuple("local nonlocal global class module".split())
+KINDS = tuple("variable parameter attribute function class module".split())
 PROVENANCE = ("jedi", "pycg", "joern")
 GRAPH_VERSION = "1.1.0"
 
@@ -108,17 +108,18 @@ def constraints() -> list[str]:
 
 
 INDEXES = [f"CREATE INDEX py_{what.lower()}_name IF NOT EXISTS FOR (c:Py{what}) ON (c.name)" for what in ("Callable", "Class")]
-INDEXES.append("CREATE FULLTEXT INDEX py_code_fts IF NOT EXISTS FOR (c:PyCallable) ON EACH [c.code, c.docstring]")
+_TEXT = ", ".join(f"c.{p}" for p in ("code", "docstring"))
+INDEXES.append(f"CREATE FULLTEXT INDEX {'py_code_fts'} IF NOT EXISTS FOR (c:PyCallable) ON EACH [{_TEXT}]")
 
 
 def catalog_document(generator: str = "srcgraph") -> dict:
     """The contract as one JSON-ready document."""
-    return {
-        "schema_version": GRAPH_VERSION,
-        "generator": generator,
-        "marker_labels": [],
-        "node_labels": [{"label": n.label, "merge_label": n.merge_label, "key": n.key, "properties": n.properties} for n in NODE_LABELS],
-        "relationship_types": [{"type": r.type, "from": list(r.sources), "to": list(r.targets), "properties": r.properties} for r in RELATION_TYPES],
+    head = {"schema_version": GRAPH_VERSION, "generator": generator, "marker_labels": []}
+    named = {"sources": "from", "targets": "to"}
+    listed = lambda v: list(v) if isinstance(v, tuple) else v
+    return head | {
+        "node_labels": [asdict(n) for n in NODE_LABELS],
+        "relationship_types": [{named.get(k, k): listed(v) for k, v in asdict(r).items()} for r in RELATION_TYPES],
         "constraints": constraints(),
         "indexes": list(INDEXES),
     }

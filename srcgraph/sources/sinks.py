@@ -21,7 +21,7 @@ BATCH = 500
 _SPAN = ["start_line", "end_line", "start_column", "end_column"]
 
 
-# --- documents ------------------------------------------------------------------------------------------------------
+# documents
 
 _NEST = {
     "modules": ["module_name", "content_hash", "last_modified", "file_size"],
@@ -163,7 +163,7 @@ def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
-# --- graph scripts --------------------------------------------------------------------------------------------------
+# graph scripts
 
 
 def _pairs(props: Column) -> Column:
@@ -210,10 +210,10 @@ def wipe_statement(app_name: str) -> str:
 
 def script_parts(nodes: DataFrame, edges: DataFrame, app_name: str) -> Iterator[str]:
     """The graph script's lines, statement by statement."""
-    yield "// ── constraints & indexes ──\n" + "\n".join(f"{s};" for s in [*schemas.constraints(), *schemas.INDEXES])
-    yield "\n\n// ── wipe this project's prior subgraph (externals/packages/decorators are shared) ──\n" + wipe_statement(app_name)
+    yield "// constraints, indexes\n" + "\n".join(f"{s};" for s in [*schemas.constraints(), *schemas.INDEXES])
+    yield "\n\n// what an earlier run left of this application; nodes that no module owns stay\n" + wipe_statement(app_name)
     for title, statements in (("nodes", node_statements(nodes)), ("relationships", edge_statements(edges))):
-        yield f"\n\n// ── {title} ──"
+        yield f"\n\n// {title}"
         for r in statements.orderBy("first", "batch").toLocalIterator():
             yield "\n" + r.statement
     yield "\n"
