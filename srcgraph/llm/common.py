@@ -7,9 +7,10 @@ a mask. Internal columns begin with ``_sg_`` so that they don't clash with colum
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -104,6 +105,21 @@ def chunks(column: pa.Array, target: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         at = end
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, giving freed memory back to the system after each batch: Python workers live on between stages."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        for b in run(batches):
+            yield b
+            del b
+            pa.default_memory_pool().release_unused()
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def _word_bytes() -> np.ndarray:
     is_word = np.zeros(256, bool)
     is_word[128:] = True

@@ -210,7 +210,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits) for every document row and item within its budget; edits: the least over all passages."""
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType), T.StructField("edits", T.IntegerType())])
     out = docs.sparkSession.createDataFrame([], schema)
-    found = [docs.select("doc_id", "text").mapInArrow(_finder(p), schema) for p in _all_parts(benchmark)]
+    found = [docs.select("doc_id", "text").mapInArrow(C.trimmed(_finder(p)), schema) for p in _all_parts(benchmark)]
     for f in found[1:]:
         found[0] = found[0].unionByName(f)
     return found[0] if found else out
@@ -219,7 +219,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without rows that hold an item."""
     for p in _all_parts(benchmark):
-        docs = docs.mapInArrow(_filter(p, docs.columns.index("text")), docs.schema)
+        docs = docs.mapInArrow(C.trimmed(_filter(p, docs.columns.index("text"))), docs.schema)
     return docs
 
 

@@ -148,7 +148,7 @@ def groups(docs: DataFrame) -> DataFrame:
     base = _keyed(docs.select("doc_id", "text")).filter("_sg_id IS NOT NULL AND _sg_key IS NOT NULL")
     base = base.select("_sg_id", "_sg_key", F.lower("_sg_row.text").alias("_sg_text"))
     id_type = base.schema["_sg_id"].dataType
-    rows = base.mapInArrow(_bands, T.StructType([T.StructField("_sg_id", id_type), T.StructField("_sg_key", T.StringType()), T.StructField("_sg_bands", T.ArrayType(T.LongType()))]))
+    rows = base.mapInArrow(C.trimmed(_bands), T.StructType([T.StructField("_sg_id", id_type), T.StructField("_sg_key", T.StringType()), T.StructField("_sg_bands", T.ArrayType(T.LongType()))]))
     # one node for each text; numbered as it is written, so that bands, pairs and edges carry 8 bytes a node
     nodes = C.cut(rows.groupBy("_sg_key").agg(F.sort_array(F.collect_list("_sg_id")).alias("ids"), F.first("_sg_bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
     by_key = Window.partitionBy("k")
@@ -157,7 +157,7 @@ def groups(docs: DataFrame) -> DataFrame:
     first = C.cut(members.filter("node <> m").select(F.col("m").alias("a"), F.col("node").alias("b")).distinct())
     wanted = nodes.select("node", F.col("ids")[0].alias("_sg_id"), "_sg_key").join(members.select("node").distinct(), "node", "left_semi")
     texts = base.join(wanted, ["_sg_id", "_sg_key"]).dropDuplicates(["_sg_id", "_sg_key"]).select("node", "_sg_text")
-    sets = C.cut(texts.mapInArrow(_sets, "node long, shingles array<long>"))
+    sets = C.cut(texts.mapInArrow(C.trimmed(_sets), "node long, shingles array<long>"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         p = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")

@@ -112,7 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     y = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_sg_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("_sg_y"))
     y = y.orderBy(F.xxhash64("_sg_id"), "_sg_id").limit(max_labelled)
     rows = docs.select(F.col("doc_id").alias("_sg_id"), "text").filter("text IS NOT NULL").join(F.broadcast(y), "_sg_id").select("_sg_y", "text")
-    got = rows.mapInArrow(_sampled, "y int, x array<float>").toArrow()
+    got = rows.mapInArrow(C.trimmed(_sampled), "y int, x array<float>").toArrow()
     x = np.array(got.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES))
     t = got.column("y").to_numpy().astype(float)
     ok = ~np.isnan(x[:, 0])
@@ -142,13 +142,13 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, score, keep) for every row."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
-    return docs.select("doc_id", "text").mapInArrow(_scorer(model), schema)
+    return docs.select("doc_id", "text").mapInArrow(C.trimmed(_scorer(model)), schema)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without rows that score below ``KEEP_AT``."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    return docs.mapInArrow(_filter(model, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(C.trimmed(_filter(model, docs.columns.index("text"))), docs.schema)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

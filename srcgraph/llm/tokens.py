@@ -189,7 +189,7 @@ def _write(vocabulary: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 def token_ids(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, block_words: first word of each block, words: little-endian 64-bit words) for every row."""
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("block_words", T.ArrayType(T.IntegerType())), T.StructField("words", T.BinaryType())])
-    return docs.select("doc_id", "text").mapInArrow(_write(os.path.realpath(vocabulary)), schema)
+    return docs.select("doc_id", "text").mapInArrow(C.trimmed(_write(os.path.realpath(vocabulary))), schema)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
