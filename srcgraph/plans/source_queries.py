@@ -126,15 +126,21 @@ def resolved_call_sites(spark, d):
     return s.groupBy("caller_signature", "is_constructor_call", F.coalesce("callee_signature", F.lit("")).alias("callee_signature")).agg(F.count("*").alias("n"))
 
 
+def by_folder(x):
+    """A shard for each folder: the rendered files import from their own folder only, so that no edge is lost."""
+    return relations.modules(x).select(F.abs(F.hash(F.regexp_extract("file_key", "^(.*)/", 1))).alias("shard_id"), "file_key")
+
+
 @source(_SITES + " SELECT DISTINCT caller AS source, callee AS target FROM sites WHERE callee <> ''")
 def pointsto_edges(spark, d):
-    return pointsto.points_to_edges(_once(parsed(spark, d))).select("source", "target")
+    x = _once(parsed(spark, d))
+    return pointsto.points_to_edges(x, by_folder(x)).select("source", "target")
 
 
 @source(_SITES + ", e AS (SELECT caller AS source, callee AS target, count(*) + 1 AS weight FROM sites WHERE callee <> '' GROUP BY ALL) SELECT source, target, weight, 'jedi|pycg' AS provenance FROM e")
 def level2_call_graph(spark, d):
     x = _once(parsed(spark, d))
-    e = G.merge_edges(G.call_edges(resolve.resolve_calls(x)), pointsto.points_to_edges(x))
+    e = G.merge_edges(G.call_edges(resolve.resolve_calls(x)), pointsto.points_to_edges(x, by_folder(x)))
     return e.select("source", "target", "weight", F.array_join("provenance", "|").alias("provenance"))
 
 
