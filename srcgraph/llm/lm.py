@@ -1,16 +1,18 @@
 """Language-model scoring by online logistic context mixing.
 
-Predictors guess a byte's bits one by one, highest first. Each has contexts of its own: the last 1, 2, 3 or 5 bytes, hashed
-to ``SLOTS`` slots of 255 nodes, one for each prefix of a byte. Node counts of zeros and ones are gathered from all
+Predictors guess a byte's bits one by one, highest first. Each has contexts of its own: the last 1, 2, 3 or 5 bytes, as they
+are in a corpus of more than ``SMALL_BYTES``, hashed to ``SLOTS`` slots in a smaller one. A context has 255 nodes, one for
+each prefix of a byte. Node counts of zeros and ones are gathered from all
 documents; their log-odds are the predictor's output. A document is then coded bit by bit: the predictors' log-odds are
 combined by a set of weights that the bit's position gates, weights move along the gradient of the coding cost after
 each byte, and the mix is refined by a table, by bit position and by the mix itself rounded, of corrections that are
 learned likewise as the text goes by. Weights and corrections start afresh in every document, so scores don't depend on the order
 of documents. ``total_bits`` is the cost of all bits; documents are in the counts themselves.
 
-Counting and scoring are numpy passes: tasks send the nonzero counts of each block of slots, so what is gathered grows with
-the corpus, while the model that is broadcast has a fixed size (``model_bytes()``). Scoring runs many documents in step,
-longest first, one byte of each at a time.
+Counting and scoring are numpy passes. Only pairs of a context and a byte that occur are counted and kept, so the model grows
+with the corpus and nothing bounds it: it is never in one place, but in files of the shared folder, one for each predictor and
+group of contexts, with sorted pairs and the log-odds on each one's way. A scoring task maps the files and takes from
+them what its batch of texts needs. Scoring runs many documents in step, longest first, one byte of each at a time.
 
 Defined results: a null or empty text has 0 bytes and 0 bits, and null bits a byte; a null ``doc_id`` is scored like any;
 repeated rows are each counted and scored; empty tables give empty results; columns besides ``doc_id`` and ``text`` are
@@ -19,33 +21,37 @@ not looked at.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from srcgraph.llm import common as C
 
 ORDERS, SLOTS = (1, 2, 3, 5), (1 << 8, 1 << 12, 1 << 15, 1 << 15)
-GROUP = 256  # slots that are sent together
+SMALL_BYTES = 1 << 20  # corpora up to this share slots; larger ones have each context on its own
+GROUP_BYTES = 1 << 24  # of the corpus, for each group of contexts
+PAIRS, COUNTED = 4 << 20, 1 << 31  # pairs a task gathers, and bytes it counts, before it sends them
 SCALE, PRIOR = 16.0, 0.4  # log-odds are kept in 16ths; what is added to each count
 LANES, STEPS = 2048, 32  # documents in step; bytes whose inputs are prepared at once
 RATE, START, REFINE_RATE, REFINE_CELLS = 0.001, 0.35, 0.03, 17
 _MIX = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
-#: The 8 nodes that a byte's bits go through, and the bits.
-PATH = np.array([[(1 << j) | (b >> (8 - j)) for j in range(8)] for b in range(256)], np.int64)
+#: A byte's bits.
 BITS = (np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1).astype(np.float32)
-_models: dict[int, list[np.ndarray]] = {}
-
-
-def model_bytes() -> int:
-    return sum(SLOTS) * 256
+#: The first bytes of a word, by how many bits two bytes differ in from the highest such bit on.
+_SHARED = np.array([(1 << 8 * (9 - n)) - 1 if n > 1 else (1 << 64) - 1 for n in range(9)], np.uint64)
+_WIDTH = np.array([n.bit_length() for n in range(256)])
 
 
 def slots(previous: list[np.ndarray], k: int) -> np.ndarray:
-    """Slot of predictor k, from the bytes before: previous[0] is the last one."""
+    """Slot of predictor k in a small corpus, from the bytes before: previous[0] is the last one."""
     h = previous[0].astype(np.uint32)
     if k == 0:
         return h.astype(np.int64)
@@ -58,87 +64,204 @@ def slots(previous: list[np.ndarray], k: int) -> np.ndarray:
     return h.astype(np.int64)
 
 
-def history(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    """For each byte the ones before it within its row, 0 before its start."""
-    out, p = [], data
-    starts = starts[starts < len(data)]
-    for _ in range(max(ORDERS)):
-        q = np.empty_like(p)
-        q[1:] = p[:-1]
-        q[starts] = 0
-        out.append(q)
-        p = q
-    return out
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = [np.zeros(s * 256, np.uint32) for s in SLOTS]
-    for b in batches:
-        for _, _, data, offsets, _ in C.chunks(b.column(0)):
-            if len(data):
-                before = history(data, offsets[:-1])
-                for k in range(len(ORDERS)):
-                    np.add.at(counts[k], slots(before, k) * 256 + data, np.uint32(1))
-    rows: tuple[list, list, list] = ([], [], [])
-    for k, c in enumerate(counts):
-        for g, part in enumerate(c.reshape(-1, GROUP * 256)):
-            at = np.flatnonzero(part)
-            if len(at):
-                rows[0].append(k)
-                rows[1].append(g)
-                rows[2].append(at.astype("<u2").tobytes() + part[at].astype("<u4").tobytes())
-    for i in range(0, len(rows[0]), 64):
-        k, g, raw = (r[i : i + 64] for r in rows)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(g, pa.int32()), pa.array(raw, pa.binary())], names=["k", "g", "part"])
-
-
-def log_odds(leaves: np.ndarray) -> np.ndarray:
-    """[slots, 256] counts of bytes -> [slots, 256] of each node's log-odds of a one, in 16ths; node 0 isn't used."""
-    out = np.zeros(leaves.shape, np.int8)
-    n = leaves.astype(np.float64)
-    for j in range(7, -1, -1):
-        n = n.reshape(len(leaves), -1, 2)
-        x = np.log((n[..., 1] + PRIOR) / (n[..., 0] + PRIOR)) * SCALE
-        out[:, 1 << j : 2 << j] = np.clip(np.rint(x), -127, 127)
-        n = n.sum(-1)
-    return out
-
-
-def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[tuple[int, int], np.ndarray] = {}
-    for b in batches:
-        for k, g, raw in zip(*(c.to_pylist() for c in b.columns)):
-            n = len(raw) // 6
-            t = total.setdefault((k, g), np.zeros(GROUP * 256, np.uint64))
-            t[np.frombuffer(raw, "<u2", n)] += np.frombuffer(raw, "<u4", n, 2 * n)
-    for (k, g), t in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([g], pa.int32()), pa.array([log_odds(t.reshape(GROUP, 256)).tobytes()], pa.binary())], names=["k", "g", "part"])
+def windows(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Each byte, with the ones before it within its row above it, 0 before its start."""
+    most = max(ORDERS)
+    padded = np.concatenate([np.zeros(7, np.uint8), data])
+    w = np.ndarray(len(data), ">u8", padded, strides=(1,)).astype(np.uint64)
+    w &= np.uint64((1 << 8 * (most + 1)) - 1)
+    for t in range(most):
+        at = starts + t
+        w[at[at < len(data)]] &= np.uint64((1 << 8 * (t + 1)) - 1)
+    return w
+
+
+def pairs(w: np.ndarray, k: int, exact: bool) -> np.ndarray:
+    """Predictor k's context and the byte, of windows."""
+    if exact:
+        return w & np.uint64((1 << 8 * (ORDERS[k] + 1)) - 1)
+    previous = [(w >> np.uint64(8 * j)) & np.uint64(255) for j in range(1, ORDERS[k] + 1)]
+    return slots(previous, k).astype(np.uint64) << np.uint64(8) | w & np.uint64(255)
+
+
+def group(keys: np.ndarray, groups: int) -> np.ndarray:
+    return (C.mix(keys >> np.uint64(8)) % np.uint64(groups)).astype(np.int64)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order, once each, and the sums of their counts."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
+
+
+def _counter(groups: int, exact: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def sent(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        w, n = (np.concatenate(x) for x in zip(*found))
+        for k in range(len(ORDERS)):
+            keys, counts = summed(pairs(w, k, exact), n)
+            g = group(keys, groups)
+            order = np.argsort(g, kind="stable")
+            keys, counts, g = keys[order].astype("<u8"), counts[order].astype("<u4"), g[order]
+            edges = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)]
+            for i in range(0, len(edges) - 1, 64):
+                ends = edges[i : i + 65]
+                raw = [keys[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(raw), pa.int32()), pa.array(g[ends[:-1]], pa.int64()), pa.array(raw, pa.binary())], names=["k", "g", "part"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, most, done = [], PAIRS, 0
+        for b in batches:
+            for _, _, data, offsets, _ in C.chunks(b.column(0)):
+                for lo in range(0, len(data), C.CHUNK_BYTES):
+                    e = pa.array(block(data, offsets[:-1], lo)).dictionary_encode()
+                    found.append((e.dictionary.to_numpy(), np.bincount(e.indices.to_numpy())))
+                done += len(data)
+                if sum(len(w) for w, _ in found) > most:
+                    found = [summed(*(np.concatenate(x) for x in zip(*found)))]
+                    most = max(PAIRS, 2 * len(found[0][0]))
+                if found and (len(found[0][0]) > PAIRS or done > COUNTED):
+                    yield from sent(found)
+                    found, most, done = [], PAIRS, 0
+        if found:
+            yield from sent(found)
+
+    return C.trimmed(run)
+
+
+def block(data: np.ndarray, starts: np.ndarray, lo: int) -> np.ndarray:
+    """Windows of ``CHUNK_BYTES`` of the data, from lo on."""
+    most, hi = max(ORDERS), min(lo + C.CHUNK_BYTES, len(data))
+    a = max(0, lo - most)
+    near = starts[np.searchsorted(starts, a) : np.searchsorted(starts, hi)]
+    return windows(data[a:hi], near - a)[lo - a :]
+
+
+def log_odds(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of pairs in order: log-odds of a one at the 8 nodes on the byte's way, in 16ths, as one 64-bit word."""
+    out = np.zeros((len(keys), 8), np.int8)
+    child = counts.astype(np.float64)
+    for j in range(7, -1, -1):
+        node = keys >> np.uint64(8 - j)
+        first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        both = np.repeat(np.add.reduceat(counts.astype(np.float64), first), np.diff(np.r_[first, len(keys)]))
+        x = np.log((child + PRIOR) / (both - child + PRIOR)) * SCALE
+        one = (keys >> np.uint64(7 - j)) & np.uint64(1) == 1
+        out[:, j] = np.clip(np.rint(np.where(one, x, -x)), -127, 127)
+        child = both
+    return out.view(np.uint64)[:, 0]
+
+
+def _located(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+def _reducer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def kept(k: int, g: int, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        keys, counts = summed(*(np.concatenate(x) for x in zip(*found)))
+        at, path = _located(folder)
+        name = f"{k}-{g}-{uuid.uuid4().hex}"
+        with at.open_output_stream(f"{path}/{name}") as f:
+            f.write(keys.astype("<u8").tobytes())
+            f.write(log_odds(keys, counts).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([g], pa.int64()), pa.array([name])], names=["k", "g", "name"])
 
-def train(docs: DataFrame) -> list[np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, found, most = None, [], PAIRS
+        for b in batches:
+            for k, g, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if now != (k, g):
+                    if found:
+                        yield kept(*now, found)
+                    now, found, most = (k, g), [], PAIRS
+                raw = raw.as_buffer()
+                n = raw.size // 12
+                found.append((np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.uint64)))
+                if sum(len(x) for x, _ in found) > most:
+                    found = [summed(*(np.concatenate(x) for x in zip(*found)))]
+                    most = max(PAIRS, 2 * len(found[0][0]))
+        if found:
+            yield kept(*now, found)
+
+    return C.trimmed(run)
+
+
+class Table:
+    """A predictor's pairs in files by group; ``len`` is how many contexts there can be."""
+
+    def __init__(self, k: int, exact: bool, groups: int, folder: str):
+        self.k, self.exact, self.groups, self.folder, self.names = k, exact, groups, folder, {}
+        self._open: dict[int, np.ndarray] = {}
+
+    def __len__(self) -> int:
+        return 1 << 8 * ORDERS[self.k] if self.exact else SLOTS[self.k]
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_open": {}}
+
+    def any(self) -> bool:
+        return bool(self.names)
+
+    def part(self, g: int) -> np.ndarray:
+        """A group's pairs and their words, as two rows."""
+        if g not in self._open:
+            at, path = _located(f"{self.folder}/{self.names[g]}")
+            local = path
+            if not isinstance(at, fs.LocalFileSystem):
+                local = tempfile.mktemp(prefix="lm-")
+                fs.copy_files(path, local, at, fs.LocalFileSystem())
+            self._open[g] = np.memmap(local, np.uint64, "r").reshape(2, -1)
+            if local != path:
+                os.unlink(local)
+        return self._open[g]
+
+    def words(self, w: np.ndarray) -> np.ndarray:
+        """Words of some windows."""
+        keys, back = np.unique(pairs(w, self.k, self.exact), return_inverse=True)
+        g = group(keys, self.groups)
+        order = np.argsort(g, kind="stable")
+        out = np.zeros(len(keys), np.uint64)
+        for at in np.split(order, np.flatnonzero(np.diff(g[order])) + 1):
+            if len(at) and int(g[at[0]]) in self.names:
+                known, words = self.part(int(g[at[0]]))
+                out[at] = found(known, words, keys[at])
+        return out[back]
+
+
+def found(known: np.ndarray, words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Words of pairs in order: a known pair's own, or of one that isn't, what its context has of its way."""
+    i = np.searchsorted(known, keys)
+    after, before = np.minimum(i, len(known) - 1), np.maximum(i, 1) - 1
+    x, y = known[after] ^ keys, known[before] ^ keys
+    near = np.where(y < x, before, after)
+    x = np.minimum(x, y)
+    return np.where(x < 256, words[near] & _SHARED[_WIDTH[x.astype(np.int64) & 255]], np.uint64(0))
+
+
+def train(docs: DataFrame) -> list[Table]:
     """The predictors' tables, from all documents."""
-    kind = "k int, g int, part binary"
-    parts = docs.select("text").filter("text IS NOT NULL").mapInArrow(_count, kind).repartition("k", "g").mapInArrow(_reduce, kind)
-    tables = [np.zeros((s, 256), np.int8) for s in SLOTS]
-    for r in parts.toLocalIterator():
-        tables[r.k][r.g * GROUP : (r.g + 1) * GROUP] = np.frombuffer(r.part, np.int8).reshape(GROUP, 256)
+    texts = docs.select("text").filter("text IS NOT NULL")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    exact, groups = size > SMALL_BYTES, 1 + size // GROUP_BYTES
+    folder = C.scratch(docs.sparkSession, "lm")
+    at, path = _located(folder)
+    at.create_dir(path)
+    parts = texts.mapInArrow(_counter(groups, exact), "k int, g long, part binary").repartition("k", "g").sortWithinPartitions("k", "g")
+    tables = [Table(k, exact, groups, folder) for k in range(len(ORDERS))]
+    for r in parts.mapInArrow(_reducer(folder), "k int, g long, name string").collect():
+        tables[r.k].names[r.g] = r.name
     return tables
 
 
-def packed(tables: list[np.ndarray]) -> list[np.ndarray]:
-    """For each slot and byte the 8 log-odds on the byte's way, as one 64-bit word."""
-    out = []
-    for t in tables:
-        words = np.empty((len(t), 256), np.uint64)
-        for i in range(0, len(t), 1024):
-            words[i : i + 1024] = np.ascontiguousarray(t[i : i + 1024][:, PATH]).view(np.uint64)[..., 0]
-        out.append(words.reshape(-1))
-    return out
+def packed(tables: list[Table]) -> list[Table]:
+    """The tables as scoring takes them."""
+    return tables
 
 
-def bits(model: list[np.ndarray], data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Total bits of each of some texts, which must come longest first."""
-    lanes, n, most = len(starts), len(model), max(ORDERS)
+def bits(words: list[np.ndarray], index: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Total bits of each of some texts, which must come longest first; index: of each byte's words."""
+    lanes, n = len(starts), len(words)
     total = np.zeros(lanes)
     weight = np.full((n, lanes, 8), START / SCALE, np.float32)
     refine = np.zeros(lanes * 8 * REFINE_CELLS, np.float32)
@@ -151,16 +274,12 @@ def bits(model: list[np.ndarray], data: np.ndarray, starts: np.ndarray, lengths:
         if live < weight.shape[1] // 2 or t0 == 0:
             weight, cell = np.ascontiguousarray(weight[:, :live]), cell[:live]
         w, c = weight[:, :live], cell[:live]
-        when = np.arange(t0 - most, t0 + steps)[:, None]
-        at = starts[:live] + when
-        byte = data[np.minimum(np.maximum(at, 0), len(data) - 1)]
-        if t0 == 0:
-            byte[:most] = 0
-        now = byte[most:]
-        before = [byte[most - j : most - j + steps] for j in range(1, most + 1)]
+        when = np.arange(t0, t0 + steps)[:, None]
+        at = np.minimum(starts[:live] + when, len(data) - 1)
+        now, pick = data[at], index[at]
         x = np.empty((steps, n, live, 8), np.float32)
         for k in range(n):
-            x[:, k] = model[k].take(slots(before, k) * 256 + now).view(np.int8).reshape(steps, live, 8)
+            x[:, k] = words[k].take(pick).view(np.int8).reshape(steps, live, 8)
         bit = BITS[now]
         logit = np.empty((steps, live, 8), np.float32)
         tmp, mix, p = np.empty((n, live, 8), np.float32), np.empty((live, 8), np.float32), np.empty((live, 8), np.float32)
@@ -200,42 +319,46 @@ def bits(model: list[np.ndarray], data: np.ndarray, starts: np.ndarray, lengths:
         logit += 1
         np.log(logit, out=logit)
         cost = logit.sum(-1)
-        cost[when[most:] >= lengths[:live]] = 0
+        cost[when >= lengths[:live]] = 0
         total[:live] += cost.sum(0, dtype=np.float64)
     return total / np.log(2)
 
 
-def score_column(model: list[np.ndarray], column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def score_column(model: list[Table], column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, total bits) of each row."""
     data, offsets, _ = C.binary_parts(column)
     size = np.diff(offsets)
     order = np.argsort(-size, kind="stable")
     out = np.zeros(len(size))
+    if not len(data):
+        return size, out
+    each = [pa.array(block(data, offsets[:-1], lo)).dictionary_encode() for lo in range(0, len(data), C.CHUNK_BYTES)]
+    each = pa.chunked_array(each).unify_dictionaries().chunks
+    words = [t.words(each[-1].dictionary.to_numpy()) for t in model]
+    index = np.concatenate([e.indices.to_numpy() for e in each])
+    del each
     for i in range(0, len(order), LANES):
         pick = order[i : i + LANES]
         if size[pick[0]]:
-            out[pick] = bits(model, data, offsets[pick], size[pick])
+            out[pick] = bits(words, index, data, offsets[pick], size[pick])
     return size, out
 
 
-def _scorer(shared, token: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _scorer(model: list[Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if token not in _models:
-            _models.clear()
-            _models[token] = packed(shared.value)
         for b in batches:
-            size, total = score_column(_models[token], b.column(1))
+            size, total = score_column(model, b.column(1))
             each = pa.array(total / np.maximum(size, 1), mask=size == 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(total), each], names=["doc_id", "n_bytes", "total_bits", "bits_per_byte"])
 
-    return run
+    return C.trimmed(run)
 
 
-def score(docs: DataFrame, tables: list[np.ndarray] | None = None) -> DataFrame:
+def score(docs: DataFrame, tables: list[Table] | None = None) -> DataFrame:
     """(doc_id, n_bytes, total_bits, bits_per_byte) for every row, by a model of ``docs`` or a given one."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs) if tables is None else tables)
+    model = packed(train(docs) if tables is None else tables)
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("total_bits", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
-    return docs.select("doc_id", "text").mapInArrow(_scorer(shared, shared._jbroadcast.id()), schema)
+    return docs.select("doc_id", "text").mapInArrow(_scorer(model), schema)
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -98,3 +98,30 @@ def test_hard_rows(spark):
     assert got[1, 0].total_bits == 0 and got[1, 0].bits_per_byte is None
     assert got[5, 200000].bits_per_byte < 0.1
     assert L.score(df.limit(0)).count() == 0
+
+
+def test_model_grows_with_the_corpus(spark):
+    """Every context of a large corpus is on its own: counts of 3 and 5 bytes are those of a dictionary."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = [b"\0" * 5 + r.text.encode() for r in docs.filter("text IS NOT NULL").collect()]
+    tables = L.train(docs)
+    for k in (2, 3):
+        n, counts = L.ORDERS[k], {}
+        for t in texts:
+            for i in range(5, len(t)):
+                c = counts.setdefault(t[i - n : i], {})
+                c[t[i]] = c.get(t[i], 0) + 1
+        parts = [tables[k].part(g) for g in tables[k].names]
+        assert sum(p.shape[1] for p in parts) == sum(map(len, counts.values()))
+        if k == 3:
+            assert len(counts) > L.SLOTS[k]
+        for context in [b"\0" * n, *list(counts)[:: len(counts) // 50]]:
+            for b in (*list(counts.get(context, {}))[:3], 1, 200):
+                want = []
+                for j in range(8):
+                    bit = b >> (7 - j) & 1
+                    at = [(v, o >> (7 - j) & 1) for o, v in counts.get(context, {}).items() if o >> (8 - j) == b >> (8 - j)]
+                    n0, n1 = (sum(v for v, x in at if x == y) for y in (0, 1))
+                    want.append(max(-127, min(127, round(math.log((n1 + L.PRIOR) / (n0 + L.PRIOR)) * L.SCALE))))
+                window = int.from_bytes(context.rjust(5, b"\0") + bytes([b]))
+                assert tables[k].words(np.array([window], np.uint64)).view(np.int8).tolist() == want
