@@ -5,7 +5,7 @@ modules and external names. Rules are applied pass after pass until nothing is a
 bound). A pass looks only at facts whose inputs grew in the one before. Each shard of files is solved in a task of its own,
 so a project's shards run side by side; edges of shards are then coalesced.
 
-A shard whose facts pass ``MAX_FACTS`` has run away: it gives no edges, and ``decomposed_edges`` plans its files again with half
+In ``decomposed_edges`` a shard whose facts pass ``MAX_FACTS`` has run away: its files are planned again with half
 the budget, until they come to an end or can't be taken apart further. A count decides, not a clock, so results
 are the same on any machine.
 """
@@ -13,6 +13,7 @@ are the same on any machine.
 from __future__ import annotations
 
 import builtins
+import math
 from collections import defaultdict
 from collections.abc import Callable, Iterable
 
@@ -36,8 +37,8 @@ class Runaway(Exception):
 class Solver:
     """The facts of one set of files. Values are (kind, name, self): function, method, class, instance, module or external."""
 
-    def __init__(self, flows: Iterable[tuple], files: dict[str, str], bindings: dict[str, str], max_facts: int = MAX_FACTS):
-        self.facts, self.max_facts = 0, max_facts
+    def __init__(self, flows: Iterable[tuple], files: dict[str, str], bindings: dict[str, str], max_facts: int | None = None):
+        self.facts, self.max_facts = 0, math.inf if max_facts is None else max_facts
         #: import path -> what its pointers begin with
         self.files, self.bindings = files, bindings
         self.points: dict[str, set[tuple]] = defaultdict(set)
@@ -262,7 +263,7 @@ class Solver:
         return self.edges
 
 
-def _solved(extracted: DataFrame, shards: DataFrame | None, max_iter: int, max_facts: int) -> DataFrame:
+def _solved(extracted: DataFrame, shards: DataFrame | None, max_iter: int, max_facts: int | None) -> DataFrame:
     """(source, target, shard_id) of each shard's edges; one row of nulls and its id for a shard that ran away."""
     flows = relation(extracted, "flows")
     of = modules(extracted).select("file_key", "dotted")
@@ -292,8 +293,11 @@ def _edges(solved: DataFrame) -> DataFrame:
     return callgraph.coalesce_edges(e, "shard_id").withColumn("weight", F.lit(1).cast("long"))
 
 
-def points_to_edges(extracted: DataFrame, shards: DataFrame | None = None, max_iter: int = MAX_ITER, max_facts: int = MAX_FACTS) -> DataFrame:
-    """Call edges by points-to analysis; ``shards`` (shard_id, file_key), or all files as one. Shards that run away give none."""
+def points_to_edges(extracted: DataFrame, shards: DataFrame | None = None, max_iter: int = MAX_ITER, max_facts: int | None = None) -> DataFrame:
+    """Call edges by points-to analysis; ``shards`` (shard_id, file_key), or all files as one.
+
+    There is no limit on facts, as nothing plans shards again here; with ``max_facts``, shards that run away give no edges.
+    """
     return _edges(_solved(extracted, shards, max_iter, max_facts))
 
 

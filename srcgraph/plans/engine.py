@@ -135,7 +135,7 @@ class CodeModel:
         o = self.options
         n = self.modules.count()
         if n <= pointsto.WHOLE_PROJECT_FILES:
-            return cut(pointsto.points_to_edges(self.extracted, None, o.max_iter, o.max_facts))
+            return cut(pointsto.points_to_edges(self.extracted, None, o.max_iter))  # max_facts is for shards, which can be planned again
         if not o.shard:
             log.warning("%d files are over the limit of %d for one level-2 analysis, and sharding is off: level 1 only", n, pointsto.WHOLE_PROJECT_FILES)
             return self.level_1.limit(0)

@@ -1,7 +1,10 @@
 """Points-to call edges on own sources with the features that matter."""
 
+from srcgraph.operators import pointsto
 from srcgraph.operators.extract import extract
 from srcgraph.operators.pointsto import decomposed_edges, points_to_edges, solve_sources
+from srcgraph.plans import source_queries
+from srcgraph.plans.engine import Options, analyze_sources
 
 
 def edges(source, name="m.py"):
@@ -60,3 +63,14 @@ def test_shards_that_run_away_are_taken_apart(spark):
     got = {(r.source, r.target) for r in decomposed_edges(x, one, replan, [3, 1], max_facts=60).collect()}
     assert got == {("a.main", "a.f"), ("b.main", "b.g")} and asked == [["a.py", "b.py", "wild.py"]]
     assert points_to_edges(x, one).count() > 30
+
+
+def test_where_nothing_plans_again_there_is_no_limit_on_facts(spark, monkeypatch):
+    files = spark.createDataFrame([("d/a.py", "def f(): return 1\ndef main(): f()\n")], "file_key string, source string").selectExpr("file_key", "source", "0D AS last_modified", "1L AS file_size", "'h' AS content_hash", "CAST(NULL AS STRING) AS error")
+    assert {(r.source, r.target) for r in analyze_sources(spark, files, Options(".", level=2, max_facts=1)).level_2.collect()} == {("d.a.main", "d.a.f")}
+    limits, solved, x = [], pointsto._solved, extract(files)
+    monkeypatch.setattr(pointsto, "_solved", lambda *a: limits.append(a[3]) or solved(*a))
+    monkeypatch.setattr(source_queries, "parsed", lambda *_: x)
+    for q in (source_queries.pointsto_edges, source_queries.level2_call_graph):
+        assert {(r.source, r.target) for r in q(spark, "").collect()} == {("d.a.main", "d.a.f")}
+    assert limits == [None, None]
