@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,12 +15,12 @@ from srcgraph import runtime as R
 ONE_TASK_EDGES = 1_000_000
 
 
-def reachable(edges: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, depth) of all that can be reached from ``roots`` (node), with the least depth; frontier by frontier."""
     e = edges.select("src", "dst").distinct()
     seen = R.cut(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     front = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         front = R.cut(front.join(e, front.node == e.src).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break

@@ -33,3 +33,9 @@ def test_reachable(spark):
     e = spark.createDataFrame(pairs, "src string, dst string")
     got = {r.node: r.depth for r in G.reachable(e, spark.createDataFrame([("a",)], "node string")).collect()}
     assert got == {"a": 0, "b": 1, "c": 2, "e": 3}
+
+
+def test_reachable_has_no_end_of_its_own(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(102)], "src long, dst long").coalesce(1)
+    got = {r.node: r.depth for r in G.reachable(e, spark.createDataFrame([(0,)], "node long")).collect()}
+    assert got == {i: i for i in range(103)}
