@@ -102,7 +102,9 @@ class Solver:
 
     def bring(self, pointer: str, dotted: str) -> None:
         """An import: a module, a name of one, or something outside."""
-        for _ in range(8):  # re-exports
+        seen = set()
+        while dotted not in seen:  # re-exports
+            seen.add(dotted)
             if dotted in self.files:
                 self.add(pointer, ("module", dotted, None))
                 return

@@ -9,6 +9,7 @@ What leads out of the project keeps its dotted name; what isn't known stays null
 from __future__ import annotations
 
 import builtins
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +18,6 @@ from srcgraph import runtime as R
 from srcgraph.functions import names as N
 from srcgraph.operators.relations import modules, relation
 
-#: Re-exports that are followed, and levels of inheritance.
-ROUNDS, DEPTH = 4, 12
 BUILTIN_CLASSES = tuple(sorted(f"builtins.{n}" for n, v in vars(builtins).items() if isinstance(v, type)))
 
 
@@ -33,39 +32,44 @@ def defined_names(extracted: DataFrame) -> DataFrame:
     return defs.select(F.col("signature").alias("dotted"), "signature", "kind").union(other).groupBy("dotted").agg(F.max("signature").alias("signature"), F.min("kind").alias("kind"))
 
 
-def resolve_names(refs: DataFrame, names: DataFrame, bindings: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(ref, at, signature, kind): ``at`` is where re-exports lead; signature and kind are null where nothing is defined there."""
-    now = refs.select("ref", F.col("ref").alias("at"), F.lit(0).alias("star")).distinct()
+def resolve_names(refs: DataFrame, names: DataFrame, bindings: DataFrame) -> DataFrame:
+    """(ref, at, signature, kind): ``at`` is where re-exports lead; signature and kind are null where nothing is defined there.
+
+    All re-exports are followed, but none twice on one way (``via``), as names in a circle may grow for ever.
+    """
+    now = refs.select("ref", F.col("ref").alias("at"), F.lit(0).alias("star"), F.expr("CAST(array() AS array<string>)").alias("via"), F.lit(0).alias("hop")).distinct()
     b = bindings.filter("dotted <> target").groupBy("dotted").agg(F.max("target").alias("target"))
     plain, star = b.filter("dotted NOT LIKE '%.*'"), b.filter("dotted LIKE '%.*'").select(F.expr("substring(dotted, 1, length(dotted) - 2)").alias("dotted"), F.expr("substring(target, 1, length(target) - 2)").alias("target"))
     every = now
-    for _ in range(rounds):
-        parts = now.select("ref", "at", F.posexplode(F.split("at", "\\.")).alias("i", "_p"))
-        cuts = parts.select("ref", "at", F.expr("array_join(slice(split(at, '\\\\.'), 1, i + 1), '.')").alias("_front"), F.col("i"))
+    for hop in count(1):
+        parts = now.select("ref", "at", "via", F.posexplode(F.split("at", "\\.")).alias("i", "_p"))
+        cuts = parts.select("ref", "at", "via", F.expr("array_join(slice(split(at, '\\\\.'), 1, i + 1), '.')").alias("_front"), F.col("i"))
         rest = F.expr("substring(at, length(_front) + 1)")
-        to = cuts.join(plain, F.col("_front") == F.col("dotted")).groupBy("ref", "at").agg(F.max_by(F.concat("target", rest), "i").alias("to")).select("ref", F.col("to").alias("at"), F.lit(0).alias("star"))
-        by_star = cuts.join(star, F.col("_front") == F.col("dotted")).filter(F.length(rest) > 0).select("ref", F.concat("target", rest).alias("at"), F.lit(1).alias("star"))
-        now = R.cut(to.union(by_star).distinct().join(every.select("ref", "at").distinct(), ["ref", "at"], "left_anti"))
+        best = F.max_by(F.struct(F.concat("target", rest).alias("to"), "via", "dotted"), "i").alias("best")
+        to = cuts.join(plain, F.col("_front") == F.col("dotted")).groupBy("ref", "at").agg(best).select("ref", F.col("best.to").alias("at"), F.lit(0).alias("star"), "best.via", "best.dotted")
+        by_star = cuts.join(star, F.col("_front") == F.col("dotted")).filter(F.length(rest) > 0).select("ref", F.concat("target", rest).alias("at"), F.lit(1).alias("star"), "via", F.concat("dotted", F.lit(".*")).alias("dotted"))
+        new = to.union(by_star).filter(~F.array_contains("via", F.col("dotted"))).withColumn("via", F.array_append("via", F.col("dotted")))
+        new = new.groupBy("ref", "at", "star").agg(F.min("via").alias("via")).withColumn("hop", F.lit(hop))
+        now = R.cut(new.join(every.select("ref", "at").distinct(), ["ref", "at"], "left_anti"))
         if now.isEmpty():
             break
         every = R.cut(every.union(now))
     hit = every.join(names.select(F.col("dotted").alias("at"), "signature", "kind"), "at", "left")
     best = F.struct(F.col("signature").isNotNull().cast("int").alias("hit"), (-F.col("star")).alias("s"), F.col("at"), F.col("signature"), F.col("kind"))
     # of the places that a name leads to: one that defines it, else the one furthest along plain imports
-    hops = every.filter("star = 0").groupBy("ref").agg(F.count("*").alias("n"))
-    b = hit.groupBy("ref").agg(F.max(best).alias("b")).join(hops, "ref", "left")
-    last = every.filter("star = 0 AND at <> ref").groupBy("ref").agg(F.max("at").alias("last"))
+    b = hit.groupBy("ref").agg(F.max(best).alias("b"))
+    last = every.filter("star = 0 AND at <> ref").groupBy("ref").agg(F.max_by("at", F.struct("hop", "at")).alias("last"))
     return b.join(last, "ref", "left").select("ref", F.when(F.col("b.hit") == 1, F.col("b.at")).otherwise(F.coalesce("last", "ref")).alias("at"), F.col("b.signature").alias("signature"), F.col("b.kind").alias("kind"))
 
 
-def ancestors(classes: DataFrame, found: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(signature, ancestor, rank): a class's ancestors that the project defines, nearest first, bases in order."""
-    base = classes.select("signature", F.posexplode("base_refs").alias("i", "ref")).join(found.filter("kind = 'class'").select("ref", F.col("signature").alias("ancestor")), "ref").select("signature", "ancestor", F.col("i").cast("long").alias("rank"))
+def ancestors(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(signature, ancestor, rank): a class's ancestors that the project defines, nearest first, bases in order; rank: levels, then each level's base."""
+    base = classes.select("signature", F.posexplode("base_refs").alias("i", "ref")).join(found.filter("kind = 'class'").select("ref", F.col("signature").alias("ancestor")), "ref").select("signature", "ancestor", F.array(F.lit(1), "i").alias("rank"))
     base = R.cut(base.filter("signature <> ancestor"))
     every, front = base, base
-    for _ in range(depth - 1):
-        step = base.select(F.col("signature").alias("ancestor"), F.col("ancestor").alias("next"), F.col("rank").alias("r"))
-        front = R.cut(front.join(step, "ancestor").select("signature", F.col("next").alias("ancestor"), ((F.col("rank") + 1) * 64 + F.col("r")).alias("rank")).filter("signature <> ancestor").join(every, ["signature", "ancestor"], "left_anti").groupBy("signature", "ancestor").agg(F.min("rank").alias("rank")))
+    while True:
+        step = base.select(F.col("signature").alias("ancestor"), F.col("ancestor").alias("next"), F.element_at("rank", 2).alias("r"))
+        front = R.cut(front.join(step, "ancestor").select("signature", F.col("next").alias("ancestor"), F.concat(F.array(F.element_at("rank", 1) + 1), F.expr("slice(rank, 2, size(rank))"), F.array("r")).alias("rank")).filter("signature <> ancestor").join(every, ["signature", "ancestor"], "left_anti").groupBy("signature", "ancestor").agg(F.min("rank").alias("rank")))
         if front.isEmpty():
             break
         every = R.cut(every.union(front))
