@@ -1,23 +1,32 @@
 """A property graph kept as Parquet, updated incrementally.
 
-A push compares modules by content hash. Of changed modules it drops what they own (declarations that are gone, outgoing
-edges) and takes the new rows; nodes that no module owns are merged and never dropped; a full push also drops this
-application's modules that no longer exist, with all they own. Each push writes a new version and then names it, so a failed
-one leaves the store as it was.
+Applications share a store. What a module owns belongs to its application: such a node is one of (application, label, value),
+so two applications with files of the same name don't meet; nodes that no module owns (packages, decorators, symbols outside)
+are one for all, are merged and never dropped. An edge belongs to the application that pushed it; its ends are that
+application's own nodes or shared ones.
+
+A push compares its application's modules by content hash. Of changed modules it drops what they own (declarations that are
+gone, outgoing edges) and takes the new rows; a full push also drops this application's modules that no longer exist, with
+all they own. Rows lie in buckets by (application, module); a push writes the buckets that it touches and a manifest that
+names the others' versions, and then publishes it with one appended row, so a failed push leaves the store as it was. The
+version before the current one stays for its readers; older ones, and buckets that neither names, are removed.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from srcgraph.operators import propgraph
-from srcgraph.runtime import current, cut, publish
+from srcgraph.runtime import current, cut, published, publish, remove
 
+BUCKETS, SHARED = 64, -1
 _NODE = "labels array<string>, key_prop string, value string, props map<string,string>, app string, module string"
-_EDGE = "type string, from_label string, from_key string, from_value string, to_label string, to_key string, to_value string, props map<string,string>, app string"
+_EDGE = "type string, from_label string, from_key string, from_value string, to_label string, to_key string, to_value string, props map<string,string>, app string, module string"
+_MANIFEST = "kind string, bucket int, version string"
+_KEYS = ["type", "from_label", "from_key", "from_value", "to_label", "to_key", "to_value", "app"]
 
 
 def changed_modules(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -37,56 +46,111 @@ def owned_edges(edges: DataFrame, owners: DataFrame, changed: DataFrame) -> Data
     return e.filter("module IS NULL OR _c").select(*edges.columns)
 
 
+def _scope() -> Column:
+    """The application of what a module owns; '' for the rest."""
+    return F.when(F.col("module").isNotNull(), F.col("app")).otherwise(F.lit(""))
+
+
+def _bucket() -> Column:
+    return F.when(F.col("module").isNull(), F.lit(SHARED)).otherwise(F.pmod(F.xxhash64("app", "module"), F.lit(BUCKETS)).cast("int"))
+
+
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Nodes by (labels[0], value): new properties over old ones, labels added. Columns of ``old``."""
-    rows = old.withColumn("ord", F.lit(0)).unionByName(new.select(*old.columns).withColumn("ord", F.lit(1)))
-    owner = rows.groupBy(F.col("labels")[0].alias("_l"), "value").agg(F.max_by("app", "ord").alias("app"), F.max_by("module", "ord").alias("module"))
-    merged = propgraph.merge_nodes(rows.select("labels", "key_prop", "value", "props", "ord")).drop("ord")
-    return merged.withColumn("_l", F.col("labels")[0]).join(owner, ["_l", "value"]).select(*old.columns)
+    """Nodes by (application of what a module owns, labels[0], value): new properties over old ones, labels added. Columns of ``old``."""
+    rows = old.withColumn("ord", F.lit(0)).unionByName(new.select(*old.columns).withColumn("ord", F.lit(1))).withColumn("scope", _scope())
+    merged = propgraph.merge_nodes(rows, ["scope"], ["app", "module"])
+    return merged.select(*old.columns)
+
+
+def _unquoted(literal: Column) -> Column:
+    """A script literal's text."""
+    inner = F.expr("substring(_q, 2, length(_q) - 2)")
+    for raw, escaped in (("'", "\\'"), ("\\", "\\\\")):
+        inner = F.replace(inner, F.lit(escaped), F.lit(raw))
+    return inner
 
 
 class GraphStore:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _manifest(self, version: str | None) -> list[tuple[str, int, str]]:
+        """(kind, bucket, version) of a version: two rows a bucket at most."""
+        return [tuple(r) for r in self.spark.read.schema(_MANIFEST).parquet(f"{self.path}/{version}/manifest").collect()] if version else []
+
+    def _rows(self, manifest: list[tuple[str, int, str]], kind: str, only: set[int] | None = None) -> DataFrame:
+        ddl = _NODE if kind == "nodes" else _EDGE
+        paths = [f"{self.path}/{v}/{k}/bucket={b}" for k, b, v in manifest if k == kind and (only is None or b in only)]
+        return self.spark.read.schema(ddl).parquet(*paths) if paths else self.spark.createDataFrame([], ddl)
+
     def read(self) -> tuple[DataFrame, DataFrame]:
-        version = current(self.spark, self.path)
-        if version is None:
-            return self.spark.createDataFrame([], _NODE), self.spark.createDataFrame([], _EDGE)
-        return self.spark.read.schema(_NODE).parquet(f"{self.path}/{version}/nodes"), self.spark.read.schema(_EDGE).parquet(f"{self.path}/{version}/edges")
+        m = self._manifest(current(self.spark, self.path))
+        return self._rows(m, "nodes"), self._rows(m, "edges")
 
     def modules(self) -> DataFrame:
         """(file_key, content_hash, app)"""
-        n, _ = self.read()
-        unquote = lambda c: F.expr(f"substring({c}, 2, length({c}) - 2)")
-        return n.filter("array_contains(labels, 'PyModule')").withColumn("_h", F.col("props")["content_hash"]).select(F.col("value").alias("file_key"), unquote("_h").alias("content_hash"), "app")
+        return self._modules(self.read()[0]).select("file_key", "content_hash", "app")
+
+    def _modules(self, nodes: DataFrame) -> DataFrame:
+        own = nodes.filter("array_contains(labels, 'PyModule')").withColumn("_q", F.col("props")["content_hash"])
+        return own.select(F.col("value").alias("file_key"), _unquoted(F.col("_q")).alias("content_hash"), "app")
 
     def push(self, nodes: DataFrame, edges: DataFrame, app: str, full: bool = True) -> None:
         """Bring the store up to a projection of ``app``."""
-        quoted = F.col("props")["_module"]
-        module = F.expr("replace(replace(substring(_m, 2, length(_m) - 2), '\\\\\\'', '\\''), '\\\\\\\\', '\\\\')")
-        new = cut(nodes.withColumn("_m", quoted).withColumn("module", module).withColumn("app", F.lit(app)).select("labels", "key_prop", "value", "props", "app", "module"))
-        old_nodes, old_edges = self.read()
-        now = new.filter("array_contains(labels, 'PyModule')").withColumn("_h", F.col("props")["content_hash"]).select(F.col("value").alias("file_key"), F.expr("substring(_h, 2, length(_h) - 2)").alias("content_hash"))
-        stored = self.modules()
-        changed = cut(changed_modules(stored, now))
-        gone = cut(vanished_modules(stored.filter(F.col("app") == app), now) if full else stored.select("file_key").limit(0))
-        out = changed.union(gone).select(F.col("file_key").alias("module"))
-        kept = old_nodes.join(out, "module", "left_anti").select(*old_nodes.columns)
-        fresh = new.join(changed.select(F.col("file_key").alias("module")), "module", "left_semi").select(*new.columns).unionByName(new.filter("module IS NULL"))
-        after = cut(upsert(kept, fresh))
-        owners = lambda n: n.filter("module IS NOT NULL").select(F.col("labels")[0].alias("label"), "value", "module")
-        stale = old_edges.join(owners(old_nodes).select(F.col("label").alias("from_label"), F.col("value").alias("from_value"), "module"), ["from_label", "from_value"], "left").join(out.withColumn("_out", F.lit(True)), "module", "left")
-        old_kept = stale.filter("_out IS NULL").select(*old_edges.columns)
-        add = owned_edges(edges.withColumn("app", F.lit(app)).select(*old_edges.columns), owners(new), changed)
-        keys = ["type", "from_label", "from_key", "from_value", "to_label", "to_key", "to_value"]
-        both = old_kept.withColumn("_o", F.lit(0)).unionByName(add.withColumn("_o", F.lit(1)))
-        merged = both.groupBy(*keys).agg(F.max_by("props", "_o").alias("props"), F.max_by("app", "_o").alias("app"))
-        there = after.select(F.col("labels")[0].alias("_l"), F.col("value").alias("_v"))
+        before = self._manifest(current(self.spark, self.path))
+        quoted = nodes.withColumn("_q", F.col("props")["_module"])
+        new = cut(quoted.withColumn("module", _unquoted(F.col("_q"))).withColumn("app", F.lit(app)).select("labels", "key_prop", "value", "props", "app", "module"))
+        key = [F.col("labels")[0].alias("label"), "value", "module"]
+        owners = new.filter("module IS NOT NULL").select(*key)
+        own = self._rows(before, "nodes").filter((F.col("app") == app) & F.col("module").isNotNull())
+        now = self._modules(new)
+        stored = self._modules(own)
+        changed = cut(changed_modules(stored, now).select(F.col("file_key").alias("module")))
+        gone = vanished_modules(stored, now) if full else stored.select("file_key").limit(0)
+        out = cut(changed.union(gone.select("file_key")))
+        fresh = new.join(changed, "module", "left_semi").select(*new.columns).unionByName(new.filter("module IS NULL"))
+        # what goes: nodes of modules that changed or vanished, unless they are pushed again; a node that moves leaves its bucket
+        leaving = own.join(out, "module", "left_semi").select(*key)
+        removed = cut(leaving.join(owners.join(changed, "module", "left_semi"), ["label", "value"], "left_anti").select("label", "value").distinct())
+        moved = own.select(*key).join(owners.join(changed, "module", "left_semi").select("label", "value", F.col("module").alias("_to")), ["label", "value"]).filter("module <> _to")
+        mine = F.col("app") == app
+        loose = self._rows(before, "edges").filter(mine).join(removed.select(F.col("label").alias("to_label"), F.col("value").alias("to_value")), ["to_label", "to_value"], "left_semi")
+        at = lambda df: df.select("module").withColumn("app", F.lit(app)).select(_bucket().alias("b"))
+        touched = {r.b for r in at(out).union(at(moved)).union(at(loose)).distinct().collect()} | {SHARED}
+        old_nodes, old_edges = self._rows(before, "nodes", touched), self._rows(before, "edges", touched)
+        leaves = out.withColumn("app", F.lit(app))
+        after = cut(upsert(old_nodes.join(leaves, ["app", "module"], "left_anti").select(*old_nodes.columns), fresh).withColumn("bucket", _bucket()).filter(F.col("bucket").isin(*touched)))
+        source = owners.select(F.col("label").alias("from_label"), F.col("value").alias("from_value"), "module")
+        add = edges.withColumn("app", F.lit(app)).join(source, ["from_label", "from_value"], "left")
+        add = add.join(changed.withColumn("_c", F.lit(True)), "module", "left").filter("module IS NULL OR _c").select(*old_edges.columns)
+        kept = old_edges.join(leaves, ["app", "module"], "left_anti").select(*old_edges.columns)
+        both = kept.withColumn("_o", F.lit(0)).unionByName(add.withColumn("_o", F.lit(1)))
+        merged = both.groupBy(*_KEYS).agg(F.max_by("props", "_o").alias("props"), F.max_by("module", F.struct("_o", "module")).alias("module"))
+        # an edge needs both its ends: the application's own node or a shared one
+        rest = [r for r in before if r[1] not in touched]
+        there = self._rows(rest, "nodes").select("labels", "value", "app", "module").unionByName(after.select("labels", "value", "app", "module"))
+        there = cut(there.select(_scope().alias("_s"), F.col("labels")[0].alias("_l"), F.col("value").alias("_v")).distinct())
         for side in ("from", "to"):
-            ends = there.select(F.col("_l").alias(f"{side}_label"), F.col("_v").alias(f"{side}_value"))
-            merged = merged.join(ends, [f"{side}_label", f"{side}_value"], "left_semi")
+            ends = there.select(F.col("_l").alias(f"{side}_label"), F.col("_v").alias(f"{side}_value"), "_s")
+            k = [f"{side}_label", f"{side}_value"]
+            found = merged.join(ends.filter("_s <> ''").withColumnRenamed("_s", "app").withColumn("_own", F.lit(True)), [*k, "app"], "left")
+            found = found.join(ends.filter("_s = ''").drop("_s").withColumn("_any", F.lit(True)), k, "left")
+            merged = found.filter("_own OR _any").select(*old_edges.columns)
+        merged = cut(merged.withColumn("bucket", _bucket()).filter(F.col("bucket").isin(*touched)))
         version = f"v-{uuid.uuid4().hex}"
-        after.write.parquet(f"{self.path}/{version}/nodes")
-        merged.select(*old_edges.columns).write.parquet(f"{self.path}/{version}/edges")
+        now_there = []
+        for kind, rows in (("nodes", after), ("edges", merged)):
+            rows.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/{version}/{kind}")
+            now_there += [(kind, r.bucket, version) for r in rows.select("bucket").distinct().collect()]
+        manifest = rest + now_there
+        self.spark.createDataFrame(manifest, _MANIFEST).coalesce(1).write.parquet(f"{self.path}/{version}/manifest")
         publish(self.spark, self.path, version)
+        self._clean(before, manifest)
+
+    def _clean(self, before: list[tuple[str, int, str]], manifest: list[tuple[str, int, str]]) -> None:
+        """Remove versions that neither the current manifest nor the one before it needs."""
+        versions = published(self.spark, self.path)
+        needed = {v for *_, v in [*before, *manifest]} | set(versions[:2])
+        for v in versions:
+            if v not in needed:
+                remove(self.spark, f"{self.path}/{v}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import time
 import uuid
@@ -14,11 +16,16 @@ BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (local mode), a folder of our own."""
+    """``spark.checkpoint.dir``; in local mode, where it is unset, a folder of our own that goes with the process."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="srcgraph-"))
+        if not named:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            own = tempfile.mkdtemp(prefix="srcgraph-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(named or own)
     return named or sc.getCheckpointDir()
 
 
@@ -42,10 +49,21 @@ def publish(spark: SparkSession, path: str, version: str) -> None:
     spark.createDataFrame([(time.time_ns(), version)], "at long, version string").coalesce(1).write.mode("append").parquet(f"{path}/versions")
 
 
-def current(spark: SparkSession, path: str) -> str | None:
-    """The version that was published last, or None."""
+def published(spark: SparkSession, path: str) -> list[str]:
+    """All versions that were ever published, the latest first."""
     try:
-        last = spark.read.schema("at long, version string").parquet(f"{path}/versions").agg(F.max_by("version", "at")).first()
+        rows = spark.read.schema("at long, version string").parquet(f"{path}/versions").orderBy(F.desc("at"), F.desc("version")).collect()
     except AnalysisException:
-        return None
-    return last[0] if last else None
+        return []
+    return [r.version for r in rows]
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The version that was published last, or None."""
+    return next(iter(published(spark, path)), None)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any file system that Hadoop knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

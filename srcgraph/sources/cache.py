@@ -25,9 +25,12 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def write_cache(extracted: DataFrame, path: str) -> None:
-    version = f"v-{uuid.uuid4().hex}"
+    """Write a new version; the one before stays for its readers, older ones go."""
+    spark, version = extracted.sparkSession, f"v-{uuid.uuid4().hex}"
     extracted.write.parquet(f"{path}/{version}")
-    runtime.publish(extracted.sparkSession, path, version)
+    runtime.publish(spark, path, version)
+    for old in runtime.published(spark, path)[2:]:
+        runtime.remove(spark, f"{path}/{old}")
 
 
 def extract_changed(files: DataFrame, cached: DataFrame | None, compat: bool = False) -> DataFrame:
