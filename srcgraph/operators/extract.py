@@ -1,8 +1,10 @@
 """One pass over each source file: text in, every relation's rows of that file out.
 
 ``extract_module`` parses with the standard ``ast`` and returns plain dicts; ``extract`` runs it on batches of files, one
-output row a file with an array of structs for each relation, so that a relation is an ``inline`` of one column and the
-others are pruned. A file that can't be read or parsed gives a row with ``error`` and empty relations.
+output row a file with an array of structs for each relation, so that a relation is an ``inline`` of one column. A
+Python pass can't be pruned from outside, so ``only`` names the relations that are wanted and nothing else is computed (their
+rows and the order of their ``ord`` are the same). A file that can't be read or parsed gives a row with ``error`` and empty
+relations.
 
 Names are resolved here as far as one file can tell: a call's ``callee_ref`` is a dotted name, either a signature of this
 file, what an import says, or a builtin; ``operators.resolve`` joins it to the other files. ``flows`` are the facts of
@@ -16,13 +18,13 @@ from __future__ import annotations
 
 import ast
 import builtins
-import hashlib
 import io
 import tokenize
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from srcgraph import schemas
 
@@ -103,29 +105,41 @@ class _Scope:
 
 
 class _File:
-    def __init__(self, source: str, file_key: str, rel: str, compat: bool):
+    def __init__(self, source: str, file_key: str, rel: str, compat: bool, only: frozenset[str] | None = None, code: bool = True):
+        self.with_code = code
+        self.only = only if only is not None else frozenset(schemas.FIELDS)
         self.tree = ast.parse(source, filename=rel)
         self.source, self.file_key, self.rel, self.compat = source, file_key, rel, compat
         self.base, self.dotted = dotted_path(rel, compat), import_path(rel)
         self.package = self.dotted if rel.endswith("__init__.py") else self.dotted.rpartition(".")[0]
         self.out: dict[str, list[dict]] = {name: [] for name in schemas.FIELDS}
         self.order = 0
+        self.kept: list[tuple[int, int, str, str, str]] = []  # ord, depth, relation, signature, parent
         self.classes: dict[str, ast.ClassDef] = {}
         self.marks: list[tuple[int, int, str]] = []
-        if not compat:
+        if not compat and "comments" in self.only:
             try:
                 self.marks = [(*t.start, t.string) for t in tokenize.generate_tokens(io.StringIO(source).readline) if t.type == tokenize.COMMENT]
             except (tokenize.TokenError, IndentationError):
                 pass
 
     def add(self, relation: str, **row) -> dict:
-        self.out[relation].append(row)
+        if relation in self.only:
+            self.out[relation].append(row)
         return row
 
+    def code(self, node: ast.AST, relation: str) -> str | None:
+        return ast.unparse(node).strip() if self.with_code and relation in self.only else None
+
     def next(self) -> int:
         self.order += 1
         return self.order
 
+    def defined(self, kind: str, sig: str, parent: str, depth: int) -> int:
+        """The place of a definition."""
+        self.kept.append((self.next(), depth, kind, sig, parent))
+        return self.order
+
     # scopes
 
     def absolute(self, module: str | None, level: int) -> str:
@@ -215,15 +229,18 @@ class _File:
         scope = _Scope("module", self.base, None)
         self.bind_body(scope, self.tree.body)
         self.docs("module", self.file_key, self.tree)
-        self.imports()
-        self.module_variables(scope)
+        if "imports" in self.only:
+            self.imports()
+        if "variables" in self.only:
+            self.module_variables(scope)
         for name, (kind, ref) in scope.bound.items():
             if kind == "import":
                 self.add("bindings", dotted=f"{self.dotted}.{name}" if self.dotted else name, target=ref)
         for star in (n for n in ast.walk(self.tree) if isinstance(n, ast.ImportFrom) and any(a.name == "*" for a in n.names)):
             self.add("bindings", dotted=f"{self.dotted}.*", target=self.absolute(star.module, star.level) + ".*")
         self.definitions(self.tree, scope, "module", self.file_key, 0)
-        self.flow_body(scope, self.tree.body, None)
+        if "flows" in self.only:
+            self.flow_body(scope, self.tree.body, None)
         self.keep_last()
         return self.out
 
@@ -294,7 +311,7 @@ class _File:
         sig = f"{scope.name}.{node.name}"
         refs = [self.refer(scope, b)[1] for b in node.bases]
         self.classes[sig] = node
-        self.add("classes", ord=self.next(), signature=sig, name=node.name, parent_kind=kind, parent_id=parent, depth=depth, base_classes=[ast.unparse(b) for b in node.bases], base_refs=refs, code=ast.unparse(node).strip(), start_line=node.lineno, end_line=node.end_lineno)
+        self.add("classes", ord=self.defined("classes", sig, parent, depth), signature=sig, name=node.name, parent_kind=kind, parent_id=parent, depth=depth, base_classes=[ast.unparse(b) for b in node.bases], base_refs=refs, code=self.code(node, "classes"), start_line=node.lineno, end_line=node.end_lineno)
         self.docs("class", sig, node)
         inner = _Scope("class", sig, scope, sig)
         self.bind_body(inner, node.body)
@@ -311,10 +328,18 @@ class _File:
                             found[slot.value] = {"name": slot.value, "type": None, "start_line": slot.lineno, "end_line": slot.end_lineno}
         for row in found.values():
             self.add("attributes", class_signature=sig, ord=self.next(), **row)
-        self.add("flows", kind="class", a=scope.pointer(node.name), b=sig, c=None, n=0)
-        for i, b in enumerate(node.bases):
-            self.add("flows", kind="base", a=sig, b=self.flow(scope, b), c=None, n=i)
+        for stmt, text in zip(node.body, node.body[1:]) if not self.compat else ():
+            if isinstance(stmt, (ast.Assign, ast.AnnAssign)) and isinstance(text, ast.Expr) and isinstance(text.value, ast.Constant) and isinstance(text.value.value, str) and text.value.value:
+                for t in stmt.targets if isinstance(stmt, ast.Assign) else [stmt.target]:
+                    if isinstance(t, ast.Name):
+                        self.add("comments", owner_kind="attribute", owner_id=f"{sig}.{t.id}", ord=self.next(), content=text.value.value, **_span(text.value), is_docstring=True)
+        if "flows" in self.only:
+            self.add("flows", kind="class", a=scope.pointer(node.name), b=sig, c=None, n=0)
+            for i, b in enumerate(node.bases):
+                self.add("flows", kind="base", a=sig, b=self.flow(scope, b), c=None, n=i)
         self.definitions(node, inner, "class", sig, depth + 1)
+        if "flows" not in self.only:
+            return
         self.flow_body(inner, node.body, None)
         for name in inner.bound:
             self.add("flows", kind="member", a=sig, b=f"{sig}::{name}", c=name, n=0)
@@ -323,19 +348,24 @@ class _File:
     def callable_(self, node: ast.FunctionDef, scope: _Scope, kind: str, parent: str, depth: int) -> None:
         sig = f"{scope.name}.{node.name}"
         cls = scope.name if scope.kind == "class" else None
-        self.add("callables", ord=self.next(), signature=sig, name=node.name, path=self.file_key, parent_kind=kind, parent_id=parent, depth=depth, decorators=[ast.unparse(d) for d in node.decorator_list], return_type=_text(node.returns), code=ast.unparse(node).strip(), start_line=node.lineno, end_line=node.end_lineno, code_start_line=node.body[0].lineno, cyclomatic_complexity=complexity(node))
+        self.add("callables", ord=self.defined("callables", sig, parent, depth), signature=sig, name=node.name, path=self.file_key, parent_kind=kind, parent_id=parent, depth=depth, decorators=[ast.unparse(d) for d in node.decorator_list], return_type=_text(node.returns), code=self.code(node, "callables"), start_line=node.lineno, end_line=node.end_lineno, code_start_line=node.body[0].lineno, cyclomatic_complexity=complexity(node) if "callables" in self.only else 0)
         self.docs("callable", sig, node)
         inner = _Scope("function", sig, scope, cls or scope.owner_class)
         self.parameters(node, inner, sig, cls, scope)
         self.bind_body(inner, node.body)
-        self.symbols(node, inner, sig)
-        self.sites(node, inner, sig)
-        for n in ast.walk(node):
+        if "accessed_symbols" in self.only:
+            self.symbols(node, inner, sig)
+        if "call_sites" in self.only:
+            self.sites(node, inner, sig)
+        for n in ast.walk(node) if "variables" in self.only else ():
             for t in n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AnnAssign) else []:
                 if isinstance(t, ast.Name):
                     self.variable(inner, "callable", sig, t, n, "function")
                 elif isinstance(t, ast.Attribute) and isinstance(t.value, ast.Name) and t.value.id == "self":
                     self.variable(inner, "callable", sig, t, n, "class")
+        if "flows" not in self.only:
+            self.definitions(node, inner, "callable", sig, depth + 1)
+            return
         names = {ast.unparse(d) for d in node.decorator_list}
         how = 1 if "staticmethod" in names else 2 if "classmethod" in names or node.name in ("__init_subclass__", "__class_getitem__") else 3 if "property" in names else 0
         self.add("flows", kind="function", a=scope.pointer(node.name), b=sig, c=cls, n=how)
@@ -362,7 +392,10 @@ class _File:
             else:
                 type_ = self.type_of(outer, default) if default is not None else None
                 inner.bound[p.arg] = ("parameter", None)
-            self.add("parameters", callable_signature=sig, ord=i, name=p.arg, type=type_, default_value=_text(default), **_span(p))
+            if "parameters" in self.only:
+                self.add("parameters", callable_signature=sig, ord=i, name=p.arg, type=type_, default_value=_text(default), **_span(p))
+            if "flows" not in self.only:
+                continue
             where = "*" if p is a.vararg else "**" if p is a.kwarg else p.arg
             self.add("flows", kind="param", a=sig, b=f"{sig}::{p.arg}", c=where, n=i if p in plain else -1)
             if default is not None:
@@ -556,22 +589,19 @@ class _File:
 
     def keep_last(self) -> None:
         """Of definitions of one kind and name in one scope the last stays; the others go with all that they hold."""
-        order = {}
-        for relation, parent in (("callables", "parent_id"), ("classes", "parent_id")):
-            for r in self.out[relation]:
-                order[relation, r["signature"], r[parent]] = r["ord"]
-        gone = {r["ord"] for relation in ("callables", "classes") for r in self.out[relation] if order[relation, r["signature"], r["parent_id"]] != r["ord"]}
+        seen = sorted(self.kept, key=lambda d: d[0])
+        last = {(kind, sig, parent): at for at, _, kind, sig, parent in seen}
+        gone = {at for at, _, kind, sig, parent in seen if last[kind, sig, parent] != at}
         if not gone:
             return
         # rows were added in pre-order: a definition's rows lie between its ord and the next one that isn't deeper
-        marks = sorted((r["ord"], r["depth"]) for relation in ("callables", "classes") for r in self.out[relation])
         cut = []
-        for i, (at, depth) in enumerate(marks):
+        for i, (at, depth, *_) in enumerate(seen):
             if at in gone:
-                end = next((o for o, d in marks[i + 1 :] if d <= depth), 1 << 60)
+                end = next((o for o, d, *_ in seen[i + 1 :] if d <= depth), 1 << 60)
                 cut.append((at, end))
         inside = lambda o: any(a <= o < b for a, b in cut)
-        dropped = {r["signature"] for r in self.out["callables"] if inside(r["ord"])}
+        dropped = {sig for at, _, kind, sig, _ in seen if kind == "callables" and inside(at)}
         self.out["parameters"] = self.last_parameters(dropped)
         for relation in ("classes", "callables", "comments", "call_sites", "accessed_symbols", "variables", "attributes"):
             self.out[relation] = [r for r in self.out[relation] if not inside(r["ord"])]
@@ -586,32 +616,37 @@ class _File:
         return [r for rows in runs.values() for r in rows]
 
 
-def extract_module(source: str, file_key: str, rel: str | None = None, compat: bool = False) -> dict[str, list[dict]]:
-    """All relations' rows of one file; raises SyntaxError."""
-    return _File(source, file_key, rel or file_key, compat).run()
+def extract_module(source: str, file_key: str, rel: str | None = None, compat: bool = False, only: frozenset[str] | None = None, code: bool = True) -> dict[str, list[dict]]:
+    """All relations' rows of one file, or those of ``only``; raises SyntaxError."""
+    return _File(source, file_key, rel or file_key, compat, only, code).run()
 
 
-def extract(files: DataFrame, root: str = "", compat: bool = False) -> DataFrame:
-    """``source_files`` -> one row a file with a column for each relation. ``root``: what to take off file keys for paths."""
-    names = list(schemas.FIELDS)
+def extract(files: DataFrame, root: str = "", compat: bool = False, only: Iterable[str] | None = None, code: bool = True) -> DataFrame:
+    """``source_files`` -> one row a file with a column for each relation. ``root``: what to take off file keys for paths; ``only``: the relations that are wanted; without ``code``, that of classes and callables is null."""
+    names = [n for n in schemas.FIELDS if only is None or n in set(only)]
+    wanted = frozenset(names)
+    schema = schemas.struct(", ".join([schemas.MODULE, *(schemas.column(n) for n in names)]))
+    arrow = to_arrow_schema(schema)
+    head = ["file_key", "source", "last_modified", "file_size", "content_hash", "error"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for f in b.itertuples(index=False):
-                rel = f.file_key[len(root) :].lstrip("/") if root and f.file_key.startswith(root) else f.file_key.lstrip("/")
-                error, got = f.error, None
-                if not isinstance(error, str) and isinstance(f.source, str):
+            keys, sources, *_, errors = (c.to_pylist() for c in b.columns)
+            stems, dotted, failed, found = [], [], [], {n: [] for n in names}
+            for key, source, error in zip(keys, sources, errors):
+                rel = key[len(root) :].lstrip("/") if root and key.startswith(root) else key.lstrip("/")
+                got: dict[str, list[dict]] = {}
+                if error is None and source is not None:
                     try:
-                        got, error = extract_module(f.source, f.file_key, rel, compat), None
+                        got = extract_module(source, key, rel, compat, wanted, code)
                     except (SyntaxError, ValueError, RecursionError) as e:
                         error = f"{type(e).__name__}: {e}"
-                stem = rel.rpartition("/")[2].removesuffix(".py")
-                rows.append((f.file_key, stem, import_path(rel), f.content_hash, f.last_modified, f.file_size, error if isinstance(error, str) else None, *((got or {}).get(n, []) for n in names)))
-            yield pd.DataFrame(rows, columns=["file_key", "module_name", "dotted", "content_hash", "last_modified", "file_size", "error", *names])
-
-    return files.mapInPandas(run, schemas.struct(schemas.EXTRACTED))
-
-
-def source_hash(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+                stems.append(rel.rpartition("/")[2].removesuffix(".py"))
+                dotted.append(import_path(rel))
+                failed.append(error)
+                for n in names:
+                    found[n].append(got.get(n, []))
+            own = [pa.array(stems, pa.string()), pa.array(dotted, pa.string()), b.column(4), b.column(2), b.column(3), pa.array(failed, pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *own, *(pa.array(found[n], arrow.field(n).type) for n in names)], schema=arrow)
+
+    return files.select(*head).mapInArrow(run, schema)

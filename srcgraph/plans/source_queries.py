@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from srcgraph.functions import names as N
 from srcgraph.operators import callgraph as G
-from srcgraph.operators import pointsto, propgraph, relations, resolve
+from srcgraph.operators import pointsto, propgraph, relations, resolve, shards
 from srcgraph.operators.extract import extract
 from srcgraph.plans import testdata as T
 from srcgraph.plans.engine import CodeModel, Options
@@ -26,12 +26,15 @@ def source(sql: str | None):
     return add
 
 
-def parsed(spark, d):
-    return extract(T.source_files(spark, d))
+NAMES = ("classes", "callables", "call_sites", "bindings")
+
+
+def parsed(spark, d, *only, code=False):
+    return extract(T.source_files(spark, d), only=only, code=code)
 
 
 def _rel(spark, d, name):
-    return relations.relation(parsed(spark, d), name)
+    return relations.relation(parsed(spark, d, name), name)
 
 
 @source(" SELECT file_key, 'g' || g AS module_name, dotted FROM files")
@@ -112,7 +115,7 @@ def accessed_symbols(spark, d):
 
 
 def resolved_edges(spark, d):
-    return G.call_edges(resolve.resolve_calls(_once(parsed(spark, d))))
+    return G.call_edges(resolve.resolve_calls(_once(parsed(spark, d, *NAMES))))
 
 
 @source(_SITES + " SELECT caller AS source, callee AS target, count(*) AS weight FROM sites WHERE callee <> '' GROUP BY ALL")
@@ -122,30 +125,30 @@ def resolved_call_edges(spark, d):
 
 @source(_SITES + " SELECT caller AS caller_signature, ctor AS is_constructor_call, coalesce(callee, '') AS callee_signature, count(*) AS n FROM sites GROUP BY ALL")
 def resolved_call_sites(spark, d):
-    s = resolve.resolve_calls(_once(parsed(spark, d)))
+    s = resolve.resolve_calls(_once(parsed(spark, d, *NAMES)))
     return s.groupBy("caller_signature", "is_constructor_call", F.coalesce("callee_signature", F.lit("")).alias("callee_signature")).agg(F.count("*").alias("n"))
 
 
 def by_folder(x):
     """A shard for each folder: the rendered files import from their own folder only, so that no edge is lost."""
-    return relations.modules(x).select(F.abs(F.hash(F.regexp_extract("file_key", "^(.*)/", 1))).alias("shard_id"), "file_key")
+    return shards.numbered(relations.modules(x).select("file_key", F.regexp_extract("file_key", "^(.*)/", 1).alias("folder")), "folder")
 
 
 @source(_SITES + " SELECT DISTINCT caller AS source, callee AS target FROM sites WHERE callee <> ''")
 def pointsto_edges(spark, d):
-    x = _once(parsed(spark, d))
+    x = _once(parsed(spark, d, "flows", "bindings"))
     return pointsto.points_to_edges(x, by_folder(x)).select("source", "target")
 
 
 @source(_SITES + ", e AS (SELECT caller AS source, callee AS target, count(*) + 1 AS weight FROM sites WHERE callee <> '' GROUP BY ALL) SELECT source, target, weight, 'jedi|pycg' AS provenance FROM e")
 def level2_call_graph(spark, d):
-    x = _once(parsed(spark, d))
+    x = _once(parsed(spark, d, *NAMES, "flows"))
     e = G.merge_edges(G.call_edges(resolve.resolve_calls(x)), pointsto.points_to_edges(x, by_folder(x)))
     return e.select("source", "target", "weight", F.array_join("provenance", "|").alias("provenance"))
 
 
 def model(spark, d):
-    return CodeModel(spark, _once(parsed(spark, d)), Options("/proj", app_name="app"))
+    return CodeModel(spark, _once(extract(T.source_files(spark, d))), Options("/proj", app_name="app"))
 
 
 _GRAPH = _SITES + """, edges AS (SELECT caller AS source, callee AS target, count(*) AS weight FROM sites WHERE callee <> '' GROUP BY ALL),

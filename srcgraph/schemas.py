@@ -34,7 +34,14 @@ FIELDS: dict[str, str] = {
 
 SOURCE_FILES = "file_key string, source string, last_modified double, file_size bigint, content_hash string, error string"
 MODULE = "file_key string, module_name string, dotted string, content_hash string, last_modified double, file_size bigint, error string"
-EXTRACTED = MODULE + ", " + ", ".join(f"{name} array<struct<{', '.join(_f.replace(' ', ': ', 1) for _f in fields.split(', '))}>>" for name, fields in FIELDS.items())
+
+
+def column(name: str) -> str:
+    """A relation as a column of its file's row."""
+    return f"{name} array<struct<{', '.join(f.replace(' ', ': ', 1) for f in FIELDS[name].split(', '))}>>"
+
+
+EXTRACTED = ", ".join([MODULE, *map(column, FIELDS)])
 CALL_EDGES = "source string, target string, type string, weight bigint, provenance array<string>"
 EXTERNALS = "signature string, name string, module string"
 

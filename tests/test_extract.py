@@ -84,3 +84,27 @@ def test_files_that_cannot_be_parsed_leave_the_others_alone(spark):
     assert {r.file_key for r in parse_errors(x).collect()} == {"b.py", "c.py"}
     assert {r.signature for r in relation(x, "callables").collect()} == {"a.f", "e.f"}
     assert extract(df.limit(0)).count() == 0
+
+
+def test_only_what_is_asked_is_computed_and_is_the_same():
+    from srcgraph import schemas
+
+    source = NESTED + '''
+class A:
+    """Doc."""
+    size: int = 0
+    "How large."
+
+    def f(self, x, *r, k=1):
+        y = [i for i in r if i]
+        return self.g(lambda q: q + x)
+
+    def f(self): return 2
+'''
+    every = extract_module(source, "m.py")
+    for name in schemas.FIELDS:
+        drop = lambda rows: [{k: v for k, v in r.items() if k != "ord"} for r in rows]
+        assert drop(extract_module(source, "m.py", only=frozenset([name]))[name]) == drop(every[name]), name
+        assert not any(v for k, v in extract_module(source, "m.py", only=frozenset([name])).items() if k != name)
+    assert all(r["code"] is None for r in extract_module(source, "m.py", only=frozenset(["callables"]), code=False)["callables"])
+    assert [(c["owner_id"], c["content"]) for c in every["comments"] if c["owner_kind"] == "attribute"] == [("m.A.size", "How large.")]
