@@ -7,10 +7,8 @@ every value of the catalog's types; null properties are left out, empty lists ar
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,17 +56,10 @@ def import_aggregate(imports: DataFrame) -> DataFrame:
 
 
 def json_lists(rows: DataFrame, owner: str, fields: list[str], name: str) -> DataFrame:
-    """(owner, name): each owner's rows by ord as JSON with sorted keys and nulls, as ``json.dumps`` writes it."""
-    g = rows.groupBy("file_key", owner).agg(F.array_sort(F.collect_list(F.struct("ord", *fields))).alias("rows"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            text = [json.dumps([{k: r[k] for k in fields} for r in rows], sort_keys=True, default=lambda v: v.item()) for rows in b["rows"]]
-            yield pd.DataFrame({"file_key": b["file_key"], owner: b[owner], name: text})
-
-    return g.mapInPandas(run, f"file_key string, {owner} string, {name} string")
-
-
+    """(owner, name): each owner's rows by ord as JSON with sorted keys and nulls."""
+    one = F.struct("ord", F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}).alias("row"))
+    g = rows.groupBy("file_key", owner).agg(F.array_sort(F.collect_list(one)).alias("rows"))
+    return g.select("file_key", owner, F.concat(F.lit("["), F.array_join(F.transform("rows", lambda r: r["row"]), ","), F.lit("]")).alias(name))
 
 
 def project(model, app_name: str) -> tuple[DataFrame, DataFrame]:
@@ -81,6 +72,7 @@ def project(model, app_name: str) -> tuple[DataFrame, DataFrame]:
     syms = json_lists(model.accessed_symbols, "callable_signature", ["name", "scope", "kind", "type", "qualified_name", "is_builtin", "lineno", "col_offset"], "accessed_symbols_json").withColumnRenamed("callable_signature", "signature")
     classes_d = classes.join(doc("class", "signature"), ["signature", "file_key"], "left")
     calls_d = calls.join(doc("callable", "signature"), ["signature", "file_key"], "left").join(params, ["signature", "file_key"], "left").join(syms, ["signature", "file_key"], "left")
+    attributes_d = model.attributes.withColumn("_id", N.attribute_id(c("class_signature"), c("name"))).join(doc("attribute", "_id"), ["_id", "file_key"], "left")
     file = c("file_key")
     site_id = N.call_site_id(file, c("start_line"), c("start_column"), c("end_line"), c("end_column"))
     var_id = N.variable_id(c("owner_id"), c("name"), c("start_line"))
@@ -90,17 +82,19 @@ def project(model, app_name: str) -> tuple[DataFrame, DataFrame]:
     sym = "PySymbol"
     imports = import_aggregate(model.imports)
     decorators = calls.select("file_key", "signature", "ord", F.explode("decorators").alias("decorator"))
+    # hot nodes that no module owns: one row each, aggregated before the shuffle
+    once = lambda rows, name: rows.groupBy(name).agg(F.min(F.struct("file_key", "ord")).alias("_at")).select(name, "_at.*")
     ends = callees_kinds(model)
     nodes = [
         node(one, "PyApplication", F.lit(app_name), F.struct(F.lit(0).alias("_0"), F.lit("").alias("_1"), F.lit(0).cast("long").alias("_2")), schema_version=F.lit(schemas.GRAPH_VERSION)),
         node(mods, "PyModule", file, _order(1, file, F.lit(0)), **as_is("module_name", "content_hash", "last_modified", "file_size"), _module=file),
         node(classes_d, "PyClass", c("signature"), _order(2, file, c("ord")), **as_is("name", "code", "base_classes", "docstring", "start_line", "end_line"), _module=file),
         node(calls_d, "PyCallable", c("signature"), _order(2, file, c("ord")), **as_is("name", "path", "return_type", "cyclomatic_complexity", "code", "code_start_line", "start_line", "end_line", "docstring", "decorators", "parameters_json", "accessed_symbols_json"), _module=file),
-        node(decorators, "PyDecorator", c("decorator"), _order(2, file, c("ord")), name=c("decorator")),
+        node(once(decorators, "decorator"), "PyDecorator", c("decorator"), _order(2, file, c("ord")), name=c("decorator")),
         node(model.call_sites, "PyCallSite", site_id, _order(2, file, c("ord")), id=site_id, **as_is("method_name", "receiver_expr", "receiver_type", "argument_types", "return_type", "callee_signature", "is_constructor_call", "start_line", "start_column", "end_line", "end_column"), _module=file),
-        node(model.attributes, "PyAttribute", attr_id, _order(2, file, c("ord")), id=attr_id, **as_is("name", "type", "start_line", "end_line"), _module=file),
+        node(attributes_d, "PyAttribute", attr_id, _order(2, file, c("ord")), id=attr_id, **as_is("name", "type", "docstring", "start_line", "end_line"), _module=file),
         node(model.variables, "PyVariable", var_id, _order(2, file, c("ord")), id=var_id, **as_is("name", "type", "initializer", "scope", "start_line", "end_line"), _module=file),
-        node(imports, "PyPackage", c("module"), _order(2, file, F.lit(0))),
+        node(once(imports.withColumn("ord", F.lit(0)), "module"), "PyPackage", c("module"), _order(2, file, F.lit(0))),
         node(ends.filter("kind <> 'declared'"), "PyExternal", c("signature"), _order(3, c("signature"), F.lit(0)), **as_is("name", "module")),
     ]
     rel = {"module": "PY_DECLARES", "class": "PY_HAS_METHOD", "callable": "PY_DECLARES"}
@@ -122,8 +116,8 @@ def project(model, app_name: str) -> tuple[DataFrame, DataFrame]:
         edge(classes.select("*", F.explode("base_classes").alias("base")), "PY_EXTENDS", (sym, c("signature")), (sym, c("base")), _order(4, file, c("ord"))),
         edge(model.call_sites.filter("callee_signature <> ''"), "PY_RESOLVES_TO", ("PyCallSite", site_id), (sym, c("callee_signature")), _order(4, file, c("ord"))),
     ]
-    merged = merge_nodes(_union(nodes))
-    return merged, _union(edges).unionByName(gate(_union(deferred), merged))
+    there = _union([n.select("labels", "value").distinct() for n in nodes])  # keys only: no code, no JSON, no merging
+    return merge_nodes(_union(nodes)), _union(edges).unionByName(gate(_union(deferred), there))
 
 
 def _order(phase: int, file: Column, place: Column) -> Column:
@@ -144,23 +138,30 @@ def callees_kinds(model) -> DataFrame:
 
 
 def gate(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges whose target was emitted."""
-    there = nodes.select(F.col("labels")[0].alias("to_label"), F.col("value").alias("to_value"))
+    """Edges whose target was emitted; of ``nodes`` labels and value are looked at."""
+    there = nodes.select(F.col("labels")[0].alias("to_label"), F.col("value").alias("to_value")).distinct()
     return edges.join(there, ["to_label", "to_value"], "left_semi").select(*edges.columns)
 
 
-def merge_nodes(nodes: DataFrame) -> DataFrame:
-    """Nodes by (labels[0], value): of each property the last value by ``ord``, labels in the order they first came."""
-    g = nodes.groupBy(F.col("labels")[0].alias("_l"), "value").agg(F.array_sort(F.collect_list(F.struct("ord", "labels", "key_prop", F.map_entries("props").alias("p")))).alias("r"))
-    r = F.col("r")
+def merge_nodes(nodes: DataFrame, keys: Iterable[str] = (), last: Iterable[str] = ()) -> DataFrame:
+    """Nodes by (labels[0], value) and ``keys``: of each property, and of each column of ``last``, the latest value by ``ord``, labels in the order they first came.
+
+    Rows of one node with the same labels and properties are folded first, and partly before the shuffle, as the latest of them
+    says all that the others do: of a node with a million rows a few are left to be merged.
+    """
+    keys, last = list(keys), list(last)
+    own = nodes.select(*keys, *last, F.col("labels")[0].alias("_l"), "labels", "key_prop", "value", F.array_sort(F.map_keys("props")).alias("_k"), F.map_entries("props").alias("p"), "ord")
+    g = own.groupBy("_l", "value", *keys, "labels", "_k").agg(F.min("ord").alias("ord"), F.max("ord").alias("_last"), *[F.max_by(c, "ord").alias(c) for c in ("key_prop", "p", *last)])
+    g = g.groupBy("_l", "value", *keys).agg(F.array_sort(F.collect_list(F.struct("ord", "labels", "key_prop"))).alias("f"), F.array_sort(F.collect_list(F.struct("_last", "p", *last))).alias("r"))
+    r, f = F.col("r"), F.col("f")
 
     def put(acc: Column, row: Column) -> Column:
-        keys = F.transform(row["p"], lambda e: e["key"])
-        return F.concat(F.filter(acc, lambda e: ~F.array_contains(keys, e["key"])), row["p"])
+        names = F.transform(row["p"], lambda e: e["key"])
+        return F.concat(F.filter(acc, lambda e: ~F.array_contains(names, e["key"])), row["p"])
 
     props = F.when(F.size(r) == 1, r[0]["p"]).otherwise(F.aggregate(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), r[0]["p"], put))
-    labels = F.when(F.size(r) == 1, r[0]["labels"]).otherwise(F.array_distinct(F.flatten(F.transform(r, lambda x: x["labels"]))))
-    return g.select(labels.alias("labels"), r[0]["key_prop"].alias("key_prop"), "value", F.map_from_entries(props).alias("props"), r[0]["ord"].alias("ord"))
+    labels = F.when(F.size(f) == 1, f[0]["labels"]).otherwise(F.array_distinct(F.flatten(F.transform(f, lambda x: x["labels"]))))
+    return g.select(*keys, labels.alias("labels"), f[0]["key_prop"].alias("key_prop"), "value", F.map_from_entries(props).alias("props"), f[0]["ord"].alias("ord"), *[F.element_at(r, -1)[c].alias(c) for c in last])
 
 
 def sorted_nodes(nodes: DataFrame) -> DataFrame:

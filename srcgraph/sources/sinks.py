@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 import gzip
+import io
 import json
+import logging
 import os
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import count
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from srcgraph import schemas
 from srcgraph.functions import literals as L
 from srcgraph.operators import propgraph
+from srcgraph.runtime import cut, sized
 
+log = logging.getLogger("srcgraph")
 BATCH = 500
 _SPAN = ["start_line", "end_line", "start_column", "end_column"]
 
@@ -52,7 +58,7 @@ def nest(file_key: str, rows: dict[str, list[dict]]) -> dict:
 
     def class_(c: dict) -> dict:
         sig = c["signature"]
-        attributes = {a["name"]: {**a, "comments": []} for a in take("attributes", sig)}
+        attributes = {a["name"]: {**a, "comments": take("comments", f"{sig}.{a['name']}", "attribute")} for a in take("attributes", sig)}
         return {**c, "comments": take("comments", sig, "class"), "methods": callables("class", sig), "attributes": attributes, "inner_classes": classes("class", sig)}
 
     def classes(kind: str, key: str) -> dict:
@@ -79,14 +85,14 @@ def module_documents(model) -> DataFrame:
         part = getattr(model, name).select("file_key", F.lit(name).alias("relation"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("row"))
         every = part if every is None else every.unionByName(part)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pa.Table) -> pa.Table:
         rows: dict[str, list[dict]] = defaultdict(list)
-        for name, row in zip(pdf.relation, pdf.row):
+        for name, row in zip(part.column("relation").to_pylist(), part.column("row").to_pylist()):
             rows[name].append(json.loads(row))
-        key = pdf.file_key.iloc[0]
-        return pd.DataFrame([(key, json.dumps(nest(key, rows), separators=(",", ":")))], columns=["file_key", "document"])
+        file_key = key[0].as_py()
+        return pa.table({"file_key": [file_key], "document": [json.dumps(nest(file_key, rows), separators=(",", ":"))]})
 
-    return every.groupBy("file_key").applyInPandas(run, "file_key string, document string")
+    return every.groupBy("file_key").applyInArrow(run, "file_key string, document string")
 
 
 def document_parts(model) -> Iterator[str]:
@@ -118,49 +124,121 @@ def write_json(model, folder: str) -> str:
 
 
 def write_binary(model, folder: str) -> str:
-    """The same document, compressed."""
-    import io
+    """The same document, compressed; how much smaller it is goes to the log."""
+    plain = 0
 
     def parts() -> Iterator[bytes]:
+        nonlocal plain
         buffer = io.BytesIO()
         with gzip.GzipFile(fileobj=buffer, mode="wb", mtime=0) as z:
             for p in document_parts(model):
-                z.write(p.encode())
+                plain += z.write(p.encode())
                 yield buffer.getvalue()
                 buffer.seek(0)
                 buffer.truncate()
         yield buffer.getvalue()
 
-    return _write(os.path.join(folder, "analysis.json.gz"), parts())
+    path = _write(os.path.join(folder, "analysis.json.gz"), parts())
+    log.info("%s: compressed %.1f times", path, compression_ratio(plain, os.path.getsize(path)))
+    return path
 
 
 def compression_ratio(plain_bytes: int, packed_bytes: int) -> float:
     return plain_bytes / packed_bytes if packed_bytes else 1.0
 
 
+def write_documents(model, folder: str) -> str:
+    """The same relations without a single file or process: JSON lines by as many tasks as there are, a module, an edge or a symbol a line."""
+    line = lambda kind, key, value: F.to_json(F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value")), {"ignoreNullFields": "false"}).alias("value")
+    parts = module_documents(model).select(line("module", F.col("file_key"), F.col("document")))
+    parts = parts.union(model.call_edges.select(line("edge", F.col("source"), F.to_json(F.struct("*")))))
+    parts = parts.union(model.external_symbols.select(line("external", F.col("signature"), F.to_json(F.struct("name", "module"), {"ignoreNullFields": "false"}))))
+    parts.write.mode("overwrite").text(folder)
+    return folder
+
+
+def flatten(file_key: str, doc: dict) -> dict[str, list[dict]]:
+    """A module's flat rows from its nested document; the inverse of ``nest``, ord being the place in the document."""
+    out: dict[str, list[dict]] = {name: [] for name in _NEST}
+    place = count(1)
+
+    def put(name: str, rows: Iterable[dict], **owner) -> None:
+        for i, r in enumerate(rows):
+            out[name].append({k: r.get(k) for k in _NEST[name]} | owner | {"ord": i if name == "parameters" else next(place)})
+
+    def definitions(kind: str, parent: str, depth: int, classes: dict, callables: dict) -> None:
+        at = {"parent_kind": kind, "parent_id": parent, "depth": depth}
+        for c in classes.values():
+            sig = c["signature"]
+            put("classes", [c], **at)
+            put("comments", c.get("comments", ()), owner_kind="class", owner_id=sig)
+            for a in c.get("attributes", {}).values():
+                put("attributes", [a], class_signature=sig)
+                put("comments", a.get("comments", ()), owner_kind="attribute", owner_id=f"{sig}.{a['name']}")
+            definitions("class", sig, depth + 1, c.get("inner_classes", {}), c.get("methods", {}))
+        for c in callables.values():
+            sig = c["signature"]
+            put("callables", [c], **at)
+            put("comments", c.get("comments", ()), owner_kind="callable", owner_id=sig)
+            put("parameters", c.get("parameters", ()), callable_signature=sig)
+            put("accessed_symbols", c.get("accessed_symbols", ()), callable_signature=sig)
+            put("call_sites", c.get("call_sites", ()), caller_signature=sig)
+            put("variables", c.get("local_variables", ()), owner_kind="callable", owner_id=sig)
+            definitions("callable", sig, depth + 1, c.get("inner_classes", {}), c.get("inner_callables", {}))
+
+    put("imports", doc.get("imports", ()))
+    put("comments", doc.get("comments", ()), owner_kind="module", owner_id=file_key)
+    put("variables", doc.get("variables", ()), owner_kind="module", owner_id=file_key)
+    definitions("module", file_key, 0, doc.get("classes", {}), doc.get("functions", {}))
+    out["modules"] = [{k: doc.get(k) for k in _NEST["modules"]}]
+    return out
+
+
+def _fields(name: str) -> str:
+    """A relation of a document as DDL."""
+    if name == "modules":
+        return "module_name string, content_hash string, last_modified double, file_size bigint"
+    kinds = dict(f.split(" ", 1) for f in schemas.FIELDS[name].split(", "))
+    return ", ".join(f"{k} {kinds.get(k, 'boolean' if k.startswith('is_') else 'string')}" for k in _NEST[name])
+
+
+def relations_of(lines: DataFrame) -> dict[str, DataFrame]:
+    """Every relation of (kind, key, value) lines: those of ``_NEST``, call_edges and external_symbols."""
+    names = list(_NEST)
+    schema = schemas.struct("file_key string, " + ", ".join(f"{n} array<struct<{', '.join(f.replace(' ', ': ', 1) for f in _fields(n).split(', '))}>>" for n in names))
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [flatten(k, json.loads(v)) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[n] for r in rows], arrow.field(n).type) for n in names)], schema=arrow)
+
+    docs = cut(lines.filter("kind = 'module'").select("key", "value").mapInArrow(run, schema))
+    out = {n: docs.select("file_key", F.inline(n)) for n in names}
+    edge = lines.filter("kind = 'edge'").select(F.from_json("value", schemas.CALL_EDGES).alias("e")).select("e.*")
+    symbol = lines.filter("kind = 'external'").select(F.col("key").alias("signature"), F.from_json("value", "name string, module string").alias("x")).select("signature", "x.*")
+    return out | {"call_edges": edge, "external_symbols": symbol}
+
+
+def read_documents(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """What ``write_documents`` wrote, as relations."""
+    return relations_of(spark.read.text(folder).select(F.from_json("value", "kind string, key string, value string").alias("r")).select("r.*"))
+
+
+def _taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for raw in b.column(0).to_pylist():
+            doc = json.loads(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
+            rows = [("module", k, json.dumps(m)) for k, m in doc["symbol_table"].items()]
+            rows += [("edge", e["source"], json.dumps(e)) for e in doc["call_graph"]]
+            rows += [("external", k, json.dumps(v)) for k, v in doc["external_symbols"].items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 3, names=["kind", "key", "value"])
+
+
 def read_json(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """A document's relations, flat: modules, call_edges, external_symbols, callables and classes (signature, name, file_key)."""
-    with (gzip.open if path.endswith(".gz") else open)(path, "rb") as f:
-        doc = json.load(f)
-    found: dict[str, list] = {"callables": [], "classes": []}
-
-    def walk(file_key: str, owner: dict) -> None:
-        for kind, keys in (("callables", ("functions", "methods", "inner_callables")), ("classes", ("classes", "inner_classes"))):
-            for d in (d for k in keys for d in owner.get(k, {}).values()):
-                found[kind].append((d["signature"], d["name"], file_key))
-                walk(file_key, d)
-
-    for key, m in doc["symbol_table"].items():
-        walk(key, m)
-    mods = [(k, m["module_name"], m.get("content_hash")) for k, m in doc["symbol_table"].items()]
-    edges = [(e["source"], e["target"], e["type"], e["weight"], e["provenance"]) for e in doc["call_graph"]]
-    return {
-        "modules": spark.createDataFrame(mods, "file_key string, module_name string, content_hash string"),
-        "callables": spark.createDataFrame(found["callables"], "signature string, name string, file_key string"),
-        "classes": spark.createDataFrame(found["classes"], "signature string, name string, file_key string"),
-        "call_edges": spark.createDataFrame(edges, schemas.CALL_EDGES),
-        "external_symbols": spark.createDataFrame([(k, v["name"], v["module"]) for k, v in doc["external_symbols"].items()], schemas.EXTERNALS),
-    }
+    """The relations of one document, plain or compressed: a task takes it apart, so that the driver doesn't hold it; larger ones are for ``read_documents``."""
+    whole = spark.read.format("binaryFile").load(path if "://" in path else f"file://{os.path.abspath(path)}").select("content")
+    return relations_of(cut(whole.mapInArrow(_taken_apart, "kind string, key string, value string")))
 
 
 # graph scripts
@@ -170,18 +248,34 @@ def _pairs(props: Column) -> Column:
     return L.mapping(F.transform(F.map_entries(props), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("literal"))))
 
 
-def _batches(rows: DataFrame, group: list[str], order: list, size: int) -> DataFrame:
-    """Rows with their group's place and their batch in it. Groups are few (a label set or a kind of edge each): their starts are counted, then each row's number within."""
-    n = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return rows.withColumn("_n", n).withColumn("batch", F.floor((F.col("_n") - 1) / size).cast("long"))
+def numbered(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``_n``: a row's place within its group by ``order``, from 0.
+
+    Rows are range-partitioned, so that a group however large is sorted by many tasks; what a partition has of a group
+    is counted, and the counts of partitions before give each row's offset.
+    """
+    placed = cut(rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)).withColumn("_i", F.monotonically_increasing_id())
+    placed = placed.withColumn("_p", F.shiftright("_i", 33))
+    parts = placed.groupBy(*group, "_p").agg(F.count("*").alias("_c"), F.min("_i").alias("_lo"))
+    before = F.sum("_c").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select(*group, "_p", "_lo", F.coalesce(before, F.lit(0)).alias("_before"))
+    return placed.join(sized(parts, 256), [*group, "_p"]).withColumn("_n", F.col("_before") + F.col("_i") - F.col("_lo")).drop("_i", "_p", "_lo", "_before")
+
+
+def _statements(rows: DataFrame, group: list[str], order: list[str], line: Column, size: int, more: list[str] = []) -> DataFrame:
+    """Groups' batches: (group..., batch, n, rows, first, more...), ``first`` the group's least key."""
+    b = numbered(rows.withColumn("line", line).select(*group, *more, "line", *order), group, order).withColumn("batch", F.floor(F.col("_n") / size).cast("long"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "line"))), lambda x: x["line"]), ",\n")
+    s = b.groupBy(*group, "batch").agg(F.count("*").alias("n"), lines.alias("rows"), *[F.first(c).alias(c) for c in more])
+    least = rows.groupBy(*group).agg(F.min("key").alias("first"))
+    return s.join(sized(least, 256), group)
 
 
 def node_statements(nodes: DataFrame, size: int = BATCH) -> DataFrame:
     """(first, batch, n, statement), ordered by (first, batch): one statement for each batch of nodes with the same labels and key."""
     g = nodes.withColumn("group", F.concat_ws(":", "labels")).withColumn("key", F.concat_ws(" ", F.col("labels")[0], "value"))
-    b = _batches(g, ["group", "key_prop"], ["key"], size).withColumn("line", F.concat(F.lit("  {k: "), L.text(F.col("value")), F.lit(", p: "), _pairs(F.col("props")), F.lit("}")))
-    s = b.groupBy("group", "key_prop", "batch").agg(F.min("key").alias("low"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "line"))), lambda x: x["line"]), ",\n").alias("rows"), F.first("labels").alias("labels"))
-    s = s.withColumn("first", F.min("low").over(Window.partitionBy("group", "key_prop")))
+    line = F.concat(F.lit("  {k: "), L.text(F.col("value")), F.lit(", p: "), _pairs(F.col("props")), F.lit("}"))
+    s = _statements(g, ["group", "key_prop"], ["key"], line, size, ["labels"])
     extra = F.when(F.size("labels") > 1, F.concat(F.lit(", n:"), F.array_join(F.slice("labels", 2, 100), ":"))).otherwise("")
     text = F.concat(F.lit("UNWIND [\n"), "rows", F.lit("\n] AS row\nMERGE (n:"), F.col("labels")[0], F.lit(" {"), "key_prop", F.lit(": row.k})\nSET n += row.p"), extra, F.lit(";"))
     return s.select("first", "batch", "n", text.alias("statement"))
@@ -189,12 +283,9 @@ def node_statements(nodes: DataFrame, size: int = BATCH) -> DataFrame:
 
 def edge_statements(edges: DataFrame, size: int = BATCH) -> DataFrame:
     """(first, batch, n, statement): one statement for each batch of edges of the same type between the same labels."""
-    group = ["type", "from_label", "from_key", "to_label", "to_key"]
     g = edges.withColumn("key", F.concat_ws(" ", "type", "from_value", "to_value"))
     line = F.concat(F.lit("  {f: "), L.text(F.col("from_value")), F.lit(", t: "), L.text(F.col("to_value")), F.lit(", p: "), _pairs(F.col("props")), F.lit("}"))
-    b = _batches(g, group, ["key", "ord"], size).withColumn("line", line)
-    s = b.groupBy(*group, "batch").agg(F.min("key").alias("low"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "line"))), lambda x: x["line"]), ",\n").alias("rows"))
-    s = s.withColumn("first", F.min("low").over(Window.partitionBy(*group)))
+    s = _statements(g, ["type", "from_label", "from_key", "to_label", "to_key"], ["key", "ord"], line, size)
     end = lambda name, side, var: F.concat(F.lit(f"MATCH ({name}:"), f"{side}_label", F.lit(" {"), f"{side}_key", F.lit(f": row.{var}}})\n"))
     text = F.concat(F.lit("UNWIND [\n"), "rows", F.lit("\n] AS row\n"), end("a", "from", "f"), end("b", "to", "t"), F.lit("MERGE (a)-[r:"), "type", F.lit("]->(b)\nSET r += row.p;"))
     return s.select("first", "batch", "n", text.alias("statement"))
