@@ -31,14 +31,6 @@ def path_to_dotted(rel: Column, compat: bool = False) -> Column:
     return F.replace(dotted, F.lit(".py"), F.lit("")) if compat else F.regexp_replace(dotted, r"\.py$", "")
 
 
-def package_prefix(rel_dir: Column) -> Column:
-    return F.when(rel_dir.isin("", "."), F.lit("")).otherwise(F.replace(rel_dir, F.lit("/"), F.lit(".")))
-
-
-def with_prefix(prefix: Column, name: Column) -> Column:
-    return F.when(prefix != "", F.concat(prefix, F.lit("."), name)).otherwise(name)
-
-
 def call_site_id(file_key: Column, start_line: Column, start_column: Column, end_line: Column, end_column: Column) -> Column:
     s = lambda c: c.cast("string")
     return F.concat(file_key, F.lit("#"), s(start_line), F.lit(":"), s(start_column), F.lit("-"), s(end_line), F.lit(":"), s(end_column))
@@ -63,6 +55,14 @@ def is_test_path(rel: Column) -> Column:
     return F.arrays_overlap(parts, F.array(F.lit("test"), F.lit("tests"))) | name.startswith("test_") | name.endswith("_test.py")
 
 
-def comment_text(raw: Column) -> Column:
-    """A comment without its marks and outer space."""
-    return F.trim(F.regexp_replace(raw, r"^\s*#+", ""))
+#: Folders that level 2 doesn't start from.
+ENTRY_SKIP = ("site-packages", ".venv", ".srcgraph", "venv", "env", "node_modules", "__pycache__", ".git", ".tox", "build", "dist", "test", "tests", ".eggs")
+
+
+def is_entry_point(rel: Column, skip_tests: bool = True) -> Column:
+    """Whether level 2 starts from a file: none in a folder of ``ENTRY_SKIP``, no test and no ``conftest.py``."""
+    parts = F.split(rel, "/")
+    skip = [d for d in ENTRY_SKIP if skip_tests or d not in ("test", "tests")]
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    out = ~F.arrays_overlap(folders, F.array(*map(F.lit, skip)))
+    return out & ~is_test_path(rel) & (F.element_at(parts, -1) != "conftest.py") if skip_tests else out

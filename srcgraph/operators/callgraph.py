@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from srcgraph.functions import names as N
 
@@ -125,8 +124,3 @@ def module_graph(edges: DataFrame, sig_to_file: DataFrame) -> DataFrame:
 def undirected(graph: DataFrame) -> DataFrame:
     """(a, b, weight) with a < b and both directions added."""
     return graph.groupBy(F.least("src_file", "dst_file").alias("a"), F.greatest("src_file", "dst_file").alias("b")).agg(F.sum("weight").cast("long").alias("weight"))
-
-
-def first_ranked(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")

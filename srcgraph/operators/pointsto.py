@@ -274,7 +274,7 @@ def _solved(extracted: DataFrame, shards: DataFrame | None, max_iter: int, max_f
     rows = flows.select("file_key", "kind", "a", "b", "c", "n").unionByName(binds.select("file_key", F.lit("bind").alias("kind"), F.col("dotted").alias("a"), F.col("target").alias("b"), none, F.lit(0).alias("n")))
     base = F.regexp_replace(F.replace(F.regexp_replace("file_key", "^/", ""), F.lit("/"), F.lit(".")), r"\.py$", "")
     rows = rows.unionByName(of.select("file_key", F.lit("file").alias("kind"), F.col("dotted").alias("a"), base.alias("b"), none, F.lit(0).alias("n")))
-    rows = rows.join(shards.select("file_key", "shard_id"), "file_key") if shards is not None else rows.withColumn("shard_id", F.lit(0))
+    rows = rows.join(shards.select("file_key", "shard_id"), "file_key") if shards is not None else rows.withColumn("shard_id", F.lit(0).cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shard = int(pdf.shard_id.iloc[0])
@@ -287,12 +287,12 @@ def _solved(extracted: DataFrame, shards: DataFrame | None, max_iter: int, max_f
             edges = [(None, None)]
         return pd.DataFrame([(s, t, shard) for s, t in edges], columns=["source", "target", "shard_id"])
 
-    return rows.groupBy("shard_id").applyInPandas(run, "source string, target string, shard_id int")
+    return rows.groupBy("shard_id").applyInPandas(run, "source string, target string, shard_id long")
 
 
 def _edges(solved: DataFrame) -> DataFrame:
     e = solved.filter("source IS NOT NULL").select("source", "target", F.lit("CALL_DEP").alias("type"), F.lit(1).cast("long").alias("weight"), F.array(F.lit(callgraph.LEVEL_2)).alias("provenance"), "shard_id")
-    return callgraph.coalesce_edges(e, "shard_id").withColumn("weight", F.lit(1).cast("long"))
+    return callgraph.coalesce_edges(e, "shard_id")
 
 
 def points_to_edges(extracted: DataFrame, shards: DataFrame | None = None, max_iter: int = MAX_ITER, max_facts: int | None = None) -> DataFrame:

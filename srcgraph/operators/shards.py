@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from srcgraph.operators import graph
+from srcgraph.runtime import cut
 
 BUDGET, SEED = 100, 42
 
@@ -99,23 +101,35 @@ def split(units: list[str], size: dict[str, int], weights: dict[tuple[str, str],
 
 
 def merge_small(parts: list[list[str]], size: dict[str, int], weights: dict[tuple[str, str], float], budget: int) -> list[list[str]]:
-    """Join the pair with the greatest weight between them while it fits (first pair on ties), then pack what is left."""
-    parts = [list(p) for p in parts]
-    while True:
-        where = {u: i for i, p in enumerate(parts) for u in p}
-        between: dict[tuple[int, int], float] = defaultdict(float)
-        for (a, b), x in weights.items():
-            i, j = sorted((where[a], where[b]))
-            if i != j:
-                between[i, j] += x
-        total = [sum(size[u] for u in p) for p in parts]
-        fits = [(x, -i, -j) for (i, j), x in between.items() if x > 0 and total[i] + total[j] <= budget]
-        if not fits:
-            break
-        _, i, j = max(fits)
-        parts[-i] += parts.pop(-j)
-    packed = bin_pack([(str(i).zfill(9), sum(size[u] for u in p)) for i, p in enumerate(parts)], budget)
-    return [[u for i in bin_ for u in parts[int(i)]] for bin_ in packed]
+    """Join the pair with the greatest weight between them while it fits (first pair on ties), then pack what is left.
+
+    A joined pair takes the place of its first part; weights to other parts are added up, not counted anew.
+    """
+    live = {i: list(p) for i, p in enumerate(parts)}
+    where = {u: i for i, p in live.items() for u in p}
+    near: dict[int, dict[int, float]] = {i: defaultdict(float) for i in live}
+    for (a, b), x in weights.items():
+        i, j = where[a], where[b]
+        if i != j:
+            near[i][j] += x
+            near[j][i] += x
+    total = {i: sum(size[u] for u in p) for i, p in live.items()}
+    heap = [(-x, i, j) for i in near for j, x in near[i].items() if i < j and x > 0]
+    heapify(heap)
+    while heap:
+        x, i, j = heappop(heap)
+        if i not in live or j not in live or near[i].get(j) != -x or total[i] + total[j] > budget:
+            continue  # of parts that are gone, or an older weight; what doesn't fit now never will
+        live[i] += live.pop(j)
+        total[i] += total.pop(j)
+        for k, w in near.pop(j).items():
+            near[k].pop(j, None)
+            if k != i:
+                near[i][k] += w
+                near[k][i] = near[i][k]
+                heappush(heap, (-near[i][k], min(i, k), max(i, k)))
+    packed = bin_pack([(str(i).zfill(9), total[i]) for i in live], budget)
+    return [[u for i in bin_ for u in live[int(i)]] for bin_ in packed]
 
 
 def plan(files: list[str], scc: dict[str, str], edges: list[tuple[str, str, float]], budget: int = BUDGET, seed: int = SEED, merge: bool = True) -> list[list[str]]:
@@ -158,12 +172,18 @@ def metrics(assignment: DataFrame, module_graph: DataFrame, budget: int = BUDGET
     """One row: modules, module_edges, total_edge_weight, cut_weight, cut_ratio, num_shards, max_shard_files, oversized_shards."""
     of = assignment.select("file_key", "shard_id")
     e = module_graph.join(of.select(F.col("file_key").alias("src_file"), F.col("shard_id").alias("s")), "src_file", "left").join(of.select(F.col("file_key").alias("dst_file"), F.col("shard_id").alias("d")), "dst_file", "left")
-    cut = e.agg(F.count("*").alias("module_edges"), F.coalesce(F.sum("weight"), F.lit(0)).alias("total_edge_weight"), F.coalesce(F.sum(F.when(~F.col("s").eqNullSafe(F.col("d")), F.col("weight"))), F.lit(0)).alias("cut_weight"))
+    weights = e.agg(F.count("*").alias("module_edges"), F.coalesce(F.sum("weight"), F.lit(0)).alias("total_edge_weight"), F.coalesce(F.sum(F.when(~F.col("s").eqNullSafe(F.col("d")), F.col("weight"))), F.lit(0)).alias("cut_weight"))
     per = of.groupBy("shard_id").agg(F.count("*").alias("n"))
     sizes = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("modules"), F.count("*").alias("num_shards"), F.coalesce(F.max("n"), F.lit(0)).alias("max_shard_files"), F.count(F.when(F.col("n") > budget, 1)).alias("oversized_shards"))
     ratio = F.when(F.col("total_edge_weight") == 0, 0.0).otherwise(F.col("cut_weight") / F.col("total_edge_weight"))
     names = ["modules", "module_edges", "total_edge_weight", "cut_weight", "cut_ratio", "num_shards", "max_shard_files", "oversized_shards"]
-    return sizes.crossJoin(cut).withColumn("cut_ratio", ratio).select(*[F.col(n).cast("double").alias(n) for n in names])
+    return sizes.crossJoin(weights).withColumn("cut_ratio", ratio).select(*[F.col(n).cast("double").alias(n) for n in names])
+
+
+def numbered(files: DataFrame, name: str) -> DataFrame:
+    """(shard_id, file_key) of files (file_key, ``name``): a number for each different name."""
+    ids = cut(files.select(name).distinct()).withColumn("shard_id", F.monotonically_increasing_id())
+    return files.join(ids, name).select("shard_id", "file_key")
 
 
 def package_shards(modules: DataFrame, ceiling: int = BUDGET) -> DataFrame:

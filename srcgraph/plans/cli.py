@@ -9,18 +9,21 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from srcgraph import VERSION
 from srcgraph.operators import propgraph, shards
 from srcgraph.operators.pointsto import MAX_FACTS, MAX_ITER
 from srcgraph.operators.store import GraphStore
 from srcgraph.plans.engine import AnalysisError, Engine, Options
+from srcgraph.schemas import GRAPH_VERSION
 from srcgraph.sources import sinks
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="srcgraph", description="Analyse a Python project: symbol table, call graph, property graph.")
+    p.add_argument("--version", action="version", version=f"srcgraph {VERSION}, graph schema {GRAPH_VERSION}")
     p.add_argument("-i", "--input", help="the project's folder")
     p.add_argument("-o", "--output", help="folder for what is written; without it the document goes to standard output")
-    p.add_argument("-f", "--format", choices=["json", "parquet", "binary"], default="json")
+    p.add_argument("-f", "--format", choices=["json", "lines", "parquet", "binary"], default="json", help="lines: JSON lines in a folder, written by all tasks")
     p.add_argument("--emit", choices=["json", "graph", "schema"], default="json")
     p.add_argument("--app-name", help="name of the application node; the folder's name by default")
     p.add_argument("-a", "--analysis-level", dest="level", type=int, default=1, choices=[1, 2])
@@ -29,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--file-name", dest="file", help="analyse one file of the project")
     p.add_argument("-c", "--cache-dir")
     p.add_argument("--clear-cache", action=argparse.BooleanOptionalAction, default=False)
-    p.add_argument("--shard", action=argparse.BooleanOptionalAction, default=False)
+    p.add_argument("--shard", action=argparse.BooleanOptionalAction, default=None, help="level 2 by shards where a project is too large for one; on unless refused")
     p.add_argument("--shard-budget", type=int, default=shards.BUDGET)
     p.add_argument("--shard-strategy", choices=["coupling", "package"], default="coupling")
     p.add_argument("--max-iter", type=int, default=MAX_ITER)
@@ -53,6 +56,8 @@ def emit(spark: SparkSession, o: Options) -> None:
             for part in sinks.document_parts(model):
                 sys.stdout.write(part)
             sys.stdout.write("\n")
+        elif o.format == "lines":
+            print(sinks.write_documents(model, f"{o.output.rstrip('/')}/analysis"))
         elif o.format == "parquet":
             for name in ("modules", "imports", "comments", "classes", "callables", "parameters", "call_sites", "accessed_symbols", "variables", "attributes", "call_edges", "external_symbols", "parse_errors"):
                 getattr(model, name).write.mode("overwrite").parquet(os.path.join(o.output, name))

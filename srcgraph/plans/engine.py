@@ -8,16 +8,16 @@ from __future__ import annotations
 
 import logging
 import os
-import shutil
 from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcgraph.functions import names as N
 from srcgraph.operators import callgraph, pointsto, relations, resolve, shards
 from srcgraph.operators.extract import extract
-from srcgraph.runtime import cut
+from srcgraph.runtime import cut, remove
 from srcgraph.sources import cache
 from srcgraph.sources.project import list_files, read_project
 
@@ -45,7 +45,7 @@ class Options:
     file: str | None = None
     cache_dir: str | None = None
     clear_cache: bool = False
-    shard: bool = False
+    shard: bool | None = None
     shard_budget: int = shards.BUDGET
     shard_strategy: str = "coupling"
     max_iter: int = pointsto.MAX_ITER
@@ -60,7 +60,7 @@ class Options:
             message
             for bad, message in (
                 (self.level not in (1, 2), "level must be 1 or 2"),
-                (self.format not in ("json", "parquet", "binary"), "format must be json, parquet or binary"),
+                (self.format not in ("json", "lines", "parquet", "binary"), "format must be json, lines, parquet or binary"),
                 (self.emit not in ("json", "graph", "schema"), "emit must be json, graph or schema"),
                 (self.shard_budget < 1, "shard_budget must be at least 1"),
                 (self.shard_strategy not in ("coupling", "package"), "shard_strategy must be coupling or package"),
@@ -121,22 +121,31 @@ class CodeModel:
     def shard_assignment(self) -> DataFrame:
         """(shard_id, file_key): by coupling or by package."""
         o = self.options
+        files = self.entry_files
         if o.shard_strategy == "package":
-            roots = shards.package_roots(self.modules.select("file_key"))
-            own = F.when(F.col("root") == "", F.col("file_key")).otherwise(F.col("root"))
-            ids = roots.select(own.alias("package"), "file_key")
-            small = ids.groupBy("package").agg(F.count("*").alias("n"), F.abs(F.hash("package")).alias("shard_id"))
-            return ids.join(small.filter(F.col("n") <= o.shard_budget), "package").select("shard_id", "file_key")
-        return cut(shards.plan_shards(self.modules, self.module_graph, o.shard_budget))
+            roots = shards.package_roots(files)
+            ids = roots.select(F.when(F.col("root") == "", F.col("file_key")).otherwise(F.col("root")).alias("package"), "file_key")
+            sizes = cut(ids.groupBy("package").agg(F.count("*").alias("n")))
+            over = sizes.filter(F.col("n") > o.shard_budget).count()
+            if over:
+                log.warning("%d packages have more than %d files and no level-2 edges of their own", over, o.shard_budget)
+            return cut(shards.numbered(ids.join(sizes.filter(F.col("n") <= o.shard_budget), "package"), "package"))
+        return cut(shards.plan_shards(files, self.module_graph, o.shard_budget))
+
+    @cached_property
+    def entry_files(self) -> DataFrame:
+        """(file_key) of the files that level 2 looks at."""
+        return self.modules.filter(N.is_entry_point(F.col("file_key"), self.options.skip_tests)).select("file_key")
 
     @cached_property
     def level_2(self) -> DataFrame:
-        """Points-to edges: of the whole project up to a size, of shards beyond it, and none without sharding."""
+        """Points-to edges: of the whole project up to a size, of shards beyond it; ``shard=False`` leaves larger projects at level 1."""
         o = self.options
-        n = self.modules.count()
-        if n <= pointsto.WHOLE_PROJECT_FILES:
-            return cut(pointsto.points_to_edges(self.extracted, None, o.max_iter))  # max_facts is for shards, which can be planned again
-        if not o.shard:
+        files = self.entry_files
+        n = files.count()
+        if n <= pointsto.WHOLE_PROJECT_FILES:  # max_facts is for shards, which can be planned again
+            return cut(pointsto.points_to_edges(self.extracted, files.withColumn("shard_id", F.lit(0).cast("long")), o.max_iter))
+        if o.shard is False:
             log.warning("%d files are over the limit of %d for one level-2 analysis, and sharding is off: level 1 only", n, pointsto.WHOLE_PROJECT_FILES)
             return self.level_1.limit(0)
         graph = self.module_graph
@@ -158,14 +167,15 @@ class Engine:
 
     def __init__(self, spark: SparkSession, options: Options):
         self.spark, self.options = spark, options
-        self.cache = os.path.join(options.cache_dir or options.input, ".srcgraph")
+        self.cache = f"{(options.cache_dir or os.path.abspath(options.input)).rstrip('/')}/.srcgraph"
+        self.cache_uri = self.cache if "://" in self.cache or self.cache.startswith("file:") else f"file://{os.path.abspath(self.cache)}"
 
     def __enter__(self) -> Engine:
         return self
 
     def __exit__(self, *_) -> None:
         if self.options.clear_cache:
-            shutil.rmtree(self.cache, ignore_errors=True)
+            remove(self.spark, self.cache_uri)
 
     def analyze(self) -> CodeModel:
         o = self.options
@@ -174,10 +184,12 @@ class Engine:
         if o.file and not list_files(o.input, one=o.file):
             raise InputNotFound(o.file)
         files = read_project(self.spark, o.input, file=o.file, skip_tests=o.skip_tests)
-        cached = None if o.rebuild or o.compat else cache.read_cache(self.spark, f"file://{os.path.abspath(self.cache)}")
+        cached = None if o.rebuild or o.compat else cache.read_cache(self.spark, self.cache_uri)
         extracted = cut(cache.extract_changed(files, cached, o.compat))
+        counts = extracted.agg(F.count("*"), F.count("error")).first()
+        log.info("%d files, of which %d can't be parsed", *counts)
         if not o.file and not o.compat and not o.clear_cache:
-            cache.write_cache(extracted, f"file://{os.path.abspath(self.cache)}")
+            cache.write_cache(extracted, self.cache_uri)
         model = CodeModel(self.spark, extracted, o)
         if o.strict and (bad := model.parse_errors.first()) is not None:
             raise AnalysisError(f"{bad.file_key}: {bad.error}")

@@ -13,15 +13,15 @@ import hashlib
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringStartsWith
 
 from srcgraph import schemas
+from srcgraph.functions import names
 
-SKIP_DIRS = ("site-packages", ".venv", ".srcgraph")
-#: What level 2 doesn't start from; ``conftest.py`` as well.
-ENTRY_SKIP = (*SKIP_DIRS, "venv", "env", "node_modules", "__pycache__", ".git", ".tox", "build", "dist", "test", "tests", ".eggs")
+SKIP_DIRS = names.ENTRY_SKIP[:3]
 
 
 def is_test(rel: str) -> bool:
@@ -44,11 +44,6 @@ def list_files(root: str, skip_dirs: tuple[str, ...] = SKIP_DIRS, skip_tests: bo
     return sorted(out)
 
 
-def entry_points(root: str) -> list[str]:
-    """Files that level 2 starts from."""
-    return [f for f in list_files(root, ENTRY_SKIP, skip_tests=True) if not f.endswith("conftest.py")]
-
-
 @dataclass
 class _Files(InputPartition):
     names: tuple[str, ...]
@@ -76,8 +71,8 @@ class _Reader(DataSourceReader):
         return all(name == f.value if isinstance(f, EqualTo) else name in f.value if isinstance(f, In) else name.startswith(f.value) for f in self.wanted)
 
     def partitions(self) -> list[_Files]:
-        names = [n for n in list_files(self.root, self.skip_dirs, self.skip_tests, self.one) if self._fits(n)]
-        return [_Files(tuple(names[i : i + self.per])) for i in range(0, len(names), self.per)] or [_Files(())]
+        found = [n for n in list_files(self.root, self.skip_dirs, self.skip_tests, self.one) if self._fits(n)]
+        return [_Files(tuple(found[i : i + self.per])) for i in range(0, len(found), self.per)] or [_Files(())]
 
     def read(self, partition: _Files) -> Iterator[tuple]:
         for name in partition.names:
@@ -114,9 +109,11 @@ def read_project(spark: SparkSession, path: str, **options) -> DataFrame:
     return r.load()
 
 
-def project_checksum(files: DataFrame) -> DataFrame:
-    """One row with the SHA-256 over the files' hashes in order of their keys."""
-    from pyspark.sql import functions as F
-
-    rows = files.agg(F.array_sort(F.collect_list(F.struct("file_key", "content_hash"))).alias("h"))
-    return rows.select(F.sha2(F.array_join(F.transform("h", lambda x: F.coalesce(x["content_hash"], F.lit(""))), ""), 256).alias("checksum"))
+def project_checksum(root: str) -> str:
+    """SHA-256 over the bytes of a project's Python files, in order of their paths."""
+    out = hashlib.sha256()
+    for path in sorted(Path(root).rglob("*.py")):
+        with open(path, "rb") as f:
+            while piece := f.read(1 << 20):
+                out.update(piece)
+    return out.hexdigest()
