@@ -7,7 +7,9 @@ a mask. Internal columns begin with ``_sg_`` so that they don't clash with colum
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 CHUNK_BYTES = 2 << 20
 #: Bytes that a broadcast of collected values may take; operators that would send more take another way.
@@ -27,12 +30,30 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (local mode)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; in local mode, where that is unset, one of our own that goes with the process."""
     sc = spark.sparkContext
+    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
-        at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="srcgraph-"))
-    return sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not at:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            own = tempfile.mkdtemp(prefix="srcgraph-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+        sc.setCheckpointDir(at or own)
+    return at or sc.getCheckpointDir()
+
+
+def placed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``df``, written to the shared folder, with ``_sg_n``: a row's place among those of equal ``keys``, from 0.
+
+    Places are counted by partition and added up, so that rows of one key, however many, stay where they are.
+    """
+    own = cut(df).withColumn("_sg_i", F.monotonically_increasing_id()).withColumn("_sg_p", F.spark_partition_id())
+    within = F.row_number().over(Window.partitionBy("_sg_p", *keys).orderBy("_sg_i")) - 1
+    parts = own.groupBy(*keys, "_sg_p").agg(F.count("*").alias("_sg_c"))
+    before = F.coalesce(F.sum("_sg_c").over(Window.partitionBy(*keys).orderBy("_sg_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*keys, "_sg_p", before.alias("_sg_before"))
+    return own.withColumn("_sg_w", within).join(parts, [*keys, "_sg_p"]).withColumn("_sg_n", F.col("_sg_w") + F.col("_sg_before")).drop("_sg_i", "_sg_p", "_sg_w", "_sg_before")
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:

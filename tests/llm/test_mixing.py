@@ -16,7 +16,7 @@ def brute(rows, weights=None, share=M.SHARE, block=M.BLOCK_TOKENS, shard_tokens=
     for d, t, s in rows:
         n = len(re.findall(r"[^ \t\n\r\f]+", t or ""))
         if n:
-            h = hashlib.md5(f"{M.SEED}|{'' if d is None else d}".encode()).hexdigest()
+            h = hashlib.md5(f"{M.SEED}|{'' if d is None else d}|{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()
             docs.append((s or "", h, n, d))
     k = max(1, math.ceil(sum(x[2] for x in docs) / shard_tokens))
     tokens, streams = defaultdict(int), defaultdict(list)
@@ -58,8 +58,19 @@ def test_matches_seat_by_seat(spark, weights):
     assert sorted((tuple(r) for r in m.pieces().collect()), key=str) == want
     kept = m.keep(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
-    first = {d for d, *_, f, _ in want if f == 0}
-    assert {r.doc_id for r in kept.collect()} == first
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((d for d, *_, f, _ in want if f == 0), key=str)
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "same rows"])
+def test_as_many_are_kept_as_have_seats(spark, ids):
+    rows = [(None if ids == "null" else 7, "w " * (10 if ids == "same rows" else 3 + i % 20), "a") for i in range(120)] + [(i, "v " * 11, "b") for i in range(40)]
+    m = M.Mix(frame(spark, rows), None, 0.5, block=64)
+    pieces = [tuple(r) for r in m.pieces().collect()]
+    assert sorted(pieces, key=str) == brute(rows, None, 0.5, 64)
+    want = sum(r[4] == 0 for r in pieces)
+    kept = m.keep(frame(spark, rows).repartition(5)).collect()
+    assert len(kept) == want < len(rows)
+    assert sum(r.source == "a" for r in kept) == sum(r[4] == 0 and r[1] == "a" for r in pieces)
 
 
 def test_target_is_met(spark, sf):
