@@ -11,8 +11,8 @@ The items' size is measured before they are sent to the executors; past ``common
 by hash to parts below that size, with one pass over the documents for each part, so results are the same.
 
 Defined results: null or wordless items match nothing; null or wordless texts match nothing; an item of fewer than
-``WHOLE_BELOW`` characters is too short to tell a leak from chance and matches only a text that is the item and
-nothing else, within the budget; items that are equal after normalising are each reported; repeated document
+``SHORT`` characters is matched with the spaces around it, so that it is found anywhere but as whole words only (``cat``
+isn't in ``concatenate``); items that are equal after normalising are each reported; repeated document
 rows give repeated results; null ids are reported as null; empty tables give no matches; columns other than
 ``doc_id`` and ``text`` pass through untouched.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from srcgraph.llm import common as C
 
-ERROR_EVERY, WHOLE_BELOW = 15, 25
+ERROR_EVERY, SHORT = 15, 25
 _WORDS = re.compile(r"[^\W_]+")
 _built: dict[int, tuple] = {}
 
@@ -55,12 +55,12 @@ def pattern_bits(pattern: str) -> dict[str, int]:
     return bits
 
 
-def myers(bits: dict[str, int], m: int, text: str, anywhere: bool = True) -> int:
-    """Least edits between a pattern and any substring of ``text`` (or all of it)."""
+def myers(bits: dict[str, int], m: int, text: str) -> int:
+    """Least edits between a pattern and any substring of ``text``."""
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score = full, 0, m
     best = m
-    get, first = bits.get, 0 if anywhere else 1
+    get = bits.get
     for c in text:
         eq = get(c, 0)
         xv = eq | mv
@@ -73,24 +73,23 @@ def myers(bits: dict[str, int], m: int, text: str, anywhere: bool = True) -> int
             score -= 1
             if score < best:
                 best = score
-        ph = (ph << 1 | first) & full
+        ph = ph << 1 & full
         mh = mh << 1 & full
         pv = mh | (full & ~(xv | ph))
         mv = ph & xv
-    return best if anywhere else score
+    return best
 
 
 class Matcher:
     """Finds items, given as (ids, normalised text), in normalised texts."""
 
     def __init__(self, items: list[tuple[list, str]]):
-        self.items = [(ids, t, budget(len(t)), pattern_bits(t)) for ids, t in items]
-        self.short = [i for i, (_, t, *_) in enumerate(self.items) if len(t) < WHOLE_BELOW]
+        framed = [(ids, f" {t} " if len(t) < SHORT else t, budget(len(t))) for ids, t in items]
+        self.items = [(ids, t, k, pattern_bits(t)) for ids, t, k in framed]
         where: dict[str, list[tuple[int, int]]] = {}
         for i, (_, t, k, _) in enumerate(self.items):
-            if len(t) >= WHOLE_BELOW:
-                for a, b in pieces(len(t), k):
-                    where.setdefault(t[a:b], []).append((i, b))
+            for a, b in pieces(len(t), k):
+                where.setdefault(t[a:b], []).append((i, b))
         self.automaton = ahocorasick.Automaton()
         for piece, at in where.items():
             self.automaton.add_word(piece, at)
@@ -100,15 +99,9 @@ class Matcher:
 
     def find(self, text: str) -> list[tuple[int, int]]:
         """(item, least edits) of all items within budget."""
-        if not text:
+        if not text or not self.any:
             return []
-        out = []
-        for i in self.short:
-            _, t, k, bits = self.items[i]
-            if abs(len(t) - len(text)) <= k and (d := 0 if t == text else myers(bits, len(t), text, False)) <= k:
-                out.append((i, d))
-        if not self.any:
-            return out
+        out, text = [], f" {text} "
         starts: dict[int, set[int]] = {}
         for end, at in self.automaton.iter(text):
             for i, b in at:

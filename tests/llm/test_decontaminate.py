@@ -47,7 +47,7 @@ def test_matches_brute_force(spark):
     rng = random.Random(5)
     words = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 7))) for _ in range(60)]
     say = lambda n: " ".join(rng.choices(words, k=n))
-    items = [(i, say(rng.randint(6, 40))) for i in range(25)]
+    items = [(i, say(rng.randint(6, 40) if i % 5 else rng.randint(2, 5))) for i in range(25)]
     docs = []
     for d in range(60):
         t = say(rng.randint(0, 60))
@@ -60,7 +60,8 @@ def test_matches_brute_force(spark):
     for d, t in docs:
         for i, x in items:
             x, n = D.normalise(x), D.normalise(t)
-            if len(x) >= D.WHOLE_BELOW and (e := distance(x, n)) <= D.budget(len(x)):
+            x, n, k = (x, n, D.budget(len(x))) if len(x) >= D.SHORT else (f" {x} ", f" {n} ", D.budget(len(x)))
+            if (e := distance(x, n)) <= k:
                 want.add((d, i, e))
     got = [tuple(r) for r in D.find_leaks(df, bench).collect()]
     assert len(want) > 20 and sorted(got) == sorted(want)
@@ -71,11 +72,17 @@ def test_matches_brute_force(spark):
 
 def test_hard_rows(spark):
     item = "The quick brown fox jumps over the lazy dog near the river bank, twice a day."
-    docs = [(1, None), (2, ""), (3, "..."), (4, item), (4, item), (5, "x " * 50000 + item.upper().replace(" ", "!! ")), (None, item), (6, "short one"), (7, "a short one here")]
+    docs = [(1, None), (2, ""), (3, "..."), (4, item), (4, item), (5, "x " * 50000 + item.upper().replace(" ", "!! ")), (None, item), (6, "short one"), (7, "a short one here"), (8, "a short oneness")]
     df, bench = make(spark, docs, [(1, item), (2, item), (3, None), (4, ""), (5, "Short one"), (None, item + item)])
     got = sorted((r.doc_id or 0, r.item_id) for r in D.find_leaks(df, bench).collect())
-    assert got == [(0, 1), (0, 2), (4, 1), (4, 1), (4, 2), (4, 2), (5, 1), (5, 2), (6, 5)]
-    assert sorted(r.doc_id for r in D.drop_leaks(df, bench).collect()) == [1, 2, 3, 7]
+    assert got == [(0, 1), (0, 2), (4, 1), (4, 1), (4, 2), (4, 2), (5, 1), (5, 2), (6, 5), (7, 5)]
+    assert sorted(r.doc_id for r in D.drop_leaks(df, bench).collect()) == [1, 2, 3, 8]
+
+
+def test_short_items_are_found_within_longer_texts_as_whole_words(spark):
+    docs = [(1, "They said: the answer is forty-two, no less."), (2, "the answer is forty twos"), (3, "The answer is fourty two!"), (4, "the cat sat"), (5, "concatenate"), (6, "cat")]
+    df, bench = make(spark, docs, [(1, "The answer is forty two"), (2, "cat")])
+    assert sorted(map(tuple, D.find_leaks(df, bench).collect())) == [(1, 1, 0), (2, 1, 1), (3, 1, 1), (4, 2, 0), (6, 2, 0)]
 
 
 def test_empty(spark):
