@@ -4,8 +4,8 @@ Four kinds of evidence about a row's language are multiplied: the text's likelih
 over all documents of known language), the language that the markup declares, the address suffix, and the host's prior.
 How far declarations and suffixes can be trusted is counted over all rows, as is each host's mix of languages; hosts are
 smoothed towards their domain (the last two labels) and domains towards the whole, with each row left out of its own
-counts. Counts use the language that a row's text alone gives. A long text's likelihood is scaled to that of
-``TEXT_TRIGRAMS`` trigrams, as neighbouring trigrams aren't independent; the whole text is read.
+counts. Counts use the language that a row's text alone gives. A trigram counts as ``EVIDENCE`` of one, as each byte is in
+three of them; the whole text counts, however long.
 
 Rows are ``pages`` (html, without its markup) and ``documents`` (their source is the host; nothing is declared).
 
@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,8 @@ from pyspark.sql import types as T
 from srcgraph.llm import common as C
 from srcgraph.llm import urls as U
 
-BUCKETS, TEXT_TRIGRAMS, SMOOTH_COUNT, SMOOTH_HOST = 1 << 15, 60, 0.5, 10.0
+BUCKETS, EVIDENCE, SMOOTH_COUNT, SMOOTH_HOST = 1 << 15, 1 / 3, 0.5, 10.0
+LANGUAGES = C.BROADCAST_BYTES // (BUCKETS * 4)  # whose tables are made and sent together; more take several passes
 _MARKUP = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|&#?\w+;"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -85,43 +87,48 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([c.tobytes()], pa.binary())], names=["lang", "counts"])
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, [bucket, language] of log-likelihoods), counted over all documents of known language."""
+def train(docs: DataFrame) -> tuple[list[str], list[Broadcast]]:
+    """(languages, [bucket, language] tables of log-likelihoods), counted over all documents of known language; a table has ``LANGUAGES`` languages at most, so that neither a task nor the driver holds all counts at once."""
     known = docs.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL")
-    names = sorted(r.lang for r in known.select("lang").distinct().limit(C.BROADCAST_BYTES // (BUCKETS * 4) + 1).collect())
-    if len(names) * BUCKETS * 4 > C.BROADCAST_BYTES:
-        raise ValueError("more languages than the model is made for")
-    counts = np.zeros((max(1, len(names)), BUCKETS))
-    if names:
-        per_task = known.mapInArrow(_count(names), "lang string, counts binary")
-        for r in per_task.repartition(len(names), "lang").mapInArrow(_add, "lang string, counts binary").collect():
-            counts[names.index(r.lang)] = np.frombuffer(r.counts, "<i8")
-    smooth = counts + SMOOTH_COUNT
-    return names, np.ascontiguousarray(np.log(smooth / smooth.sum(1, keepdims=True)).T.astype(np.float32))
-
-
-def likelihoods(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """[rows, languages]: log-likelihood of each text, scaled to TEXT_TRIGRAMS trigrams at most."""
+    names = sorted(r.lang for r in known.select("lang").distinct().collect())
+    tables = []
+    for lo in range(0, len(names), LANGUAGES):
+        part = names[lo : lo + LANGUAGES]
+        counts = np.zeros((len(part), BUCKETS))
+        theirs = known.filter(F.col("lang").between(part[0], part[-1]))
+        per_task = theirs.mapInArrow(_count(part), "lang string, counts binary")
+        for r in per_task.repartition(len(part), "lang").mapInArrow(_add, "lang string, counts binary").collect():
+            counts[part.index(r.lang)] = np.frombuffer(r.counts, "<i8")
+        smooth = counts + SMOOTH_COUNT
+        tables.append(docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(np.log(smooth / smooth.sum(1, keepdims=True)).T.astype(np.float32))))
+    return names, tables
+
+
+def likelihoods(data: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """[rows, languages]: log-likelihood of each text."""
     h = trigrams(data)
     n = np.maximum(np.diff(offsets) - 2, 0)
     start = np.minimum(offsets[:-1], len(h))
-    out = np.empty((len(n), table.shape[1]))
-    for j in range(table.shape[1]):
-        c = np.concatenate(([0.0], np.cumsum(table[:, j][h], dtype=np.float64)))
-        out[:, j] = c[start + n] - c[start]
-    return out * np.minimum(1, TEXT_TRIGRAMS / np.maximum(n, 1))[:, None]
+    out = np.empty((len(n), sum(t.shape[1] for t in tables)))
+    at = 0
+    for table in tables:
+        for j in range(table.shape[1]):
+            c = np.concatenate(([0.0], np.cumsum(table[:, j][h], dtype=np.float64)))
+            out[:, at] = c[start + n] - c[start]
+            at += 1
+    return out * EVIDENCE
 
 
-def _read(shared, markup: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _read(shared: list[Broadcast], markup: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, table = shared.value
+        tables = [b.value for b in shared]
         kind = pa.list_(pa.float64())
         for b in batches:
             for lo, hi, *_ in C.chunks(b.column(b.num_columns - 1)):
                 part = b.slice(lo, hi - lo)
                 text = part.column(part.num_columns - 1)
                 for _, _, data, offsets, _ in C.chunks(plain(text) if markup else text, 1 << 62):
-                    ll = likelihoods(data, offsets, table)
+                    ll = likelihoods(data, offsets, tables)
                     ll[np.diff(offsets) < 3] = 0
                     top = pa.array(ll.argmax(1).astype(np.int32))
                     lists = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * ll.shape[1]), pa.array(ll.reshape(-1))).cast(kind)
@@ -135,14 +142,21 @@ def _fuse(names: list[str], total: list[int]) -> Callable[[Iterator[pa.RecordBat
     everywhere = (np.array(total, float) + 1) / (sum(total) + k)
 
     def matrix(column: pa.Array) -> np.ndarray:
-        """Count arrays, zeros for null."""
+        """Counts by language from maps, zeros for null."""
         out = np.zeros((len(column), k))
-        ok = column.is_valid().to_numpy(zero_copy_only=False)
-        out[ok] = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+        maps = column.cast(pa.map_(pa.int32(), pa.int64()))
+        row = np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(maps.cast(pa.list_(pa.struct([("key", pa.int32()), ("value", pa.int64())])))), 0).to_numpy(zero_copy_only=False))
+        entries = maps.cast(pa.list_(pa.struct([("key", pa.int32()), ("value", pa.int64())]))).flatten()
+        out[row, entries.field(0).to_numpy(zero_copy_only=False)] = entries.field(1).to_numpy(zero_copy_only=False)
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, (4 << 20) // k)  # rows whose matrices are held at once
         for b in batches:
+            yield from (b.slice(i, step) for i in range(0, max(b.num_rows, 1), step))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
             n = b.num_rows
             col = {x: b.column(i) for i, x in enumerate(b.schema.names)}
             ll = col["ll"].flatten().to_numpy(zero_copy_only=False).reshape(n, k)
@@ -180,7 +194,7 @@ def declared(html: Column) -> Column:
 def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, page_id, lang, probability, text_lang) for every row of both; a document has no page_id and a page no doc_id."""
     spark = docs.sparkSession
-    names, table = train(docs)
+    names, tables = train(docs)
     ids = (docs.schema["doc_id"].dataType, pages.schema["page_id"].dataType)
     out = T.StructType([T.StructField("doc_id", ids[0]), T.StructField("page_id", ids[1]), T.StructField("lang", T.StringType()), T.StructField("probability", T.DoubleType()), T.StructField("text_lang", T.StringType())])
     null = lambda kind, name: F.lit(None).cast(kind).alias(name)
@@ -188,20 +202,35 @@ def identify(docs: DataFrame, pages: DataFrame) -> DataFrame:
         d = docs.select("doc_id", null(ids[1], "page_id"))
         both = d.unionByName(pages.select(null(ids[0], "doc_id"), "page_id"))
         return both.select("*", null("string", "lang"), null("double", "probability"), null("string", "text_lang"))
-    shared = spark.sparkContext.broadcast((names, table))
     facts = T.StructType([*out.fields[:2], *(T.StructField(x, T.StringType()) for x in ("host", "domain", "suffix", "declared")), T.StructField("ll", T.ArrayType(T.DoubleType())), T.StructField("top", T.IntegerType())])
     h = F.nullif(F.regexp_replace(U.host(F.col("url")), r":\d*$", ""), F.lit(""))
     p = pages.select(null(ids[0], "doc_id"), "page_id", h.alias("host"), F.nullif(F.regexp_extract(h, r"([^.]+\.[^.]+)\.?$", 1), F.lit("")).alias("domain"), F.nullif(U.suffix(F.col("url")), F.lit("")).alias("suffix"), declared(F.col("html")).alias("declared"), "html")
     d = docs.select("doc_id", null(ids[1], "page_id"), F.concat(F.lit("source:"), "source").alias("host"), null("string", "domain"), null("string", "suffix"), null("string", "declared"), "text")
-    rows = C.cut(d.mapInArrow(_read(shared, False), facts).unionByName(p.mapInArrow(_read(shared, True), facts)))
-    counts = F.array(*[F.sum((F.col("top") == i).cast("long")) for i in range(len(names))])
-    total = rows.filter("top IS NOT NULL").agg(counts).first()[0]
-    total = [int(x or 0) for x in total]
+    rows = C.cut(d.mapInArrow(_read(tables, False), facts).unionByName(p.mapInArrow(_read(tables, True), facts)))
+    total = [0] * len(names)
+    for r in rows.filter("top IS NOT NULL").groupBy("top").count().collect():
+        total[r["top"]] = r["count"]
     for key in ("host", "domain", "suffix", "declared"):
-        by = C.cut(rows.filter(f"{key} IS NOT NULL AND top IS NOT NULL").groupBy(key).agg(counts.alias(f"n_{key}")))
-        rows = rows.join(F.broadcast(by) if by.count() * (64 + 8 * len(names)) <= C.BROADCAST_BYTES // 4 else by, key, "left")
+        rows = _with_counts(rows, key)
     return rows.select("doc_id", "page_id", "ll", "top", "n_host", "n_domain", "n_suffix", "n_declared").mapInArrow(_fuse(names, total), out)
 
 
+def _with_counts(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with n_<key>: a map from language to how many rows of the same key have it.
+
+    Where there are too many keys to broadcast, those with a thousandth of all rows or more, a thousand at most, still
+    are: no task gets all rows of a hot host.
+    """
+    one = rows.filter(f"{key} IS NOT NULL AND top IS NOT NULL").groupBy(key, "top").agg(F.count("*").alias("n"))
+    by = C.cut(one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("top", "n"))).alias(f"n_{key}"), F.sum("n").alias("_n"), F.count("*").alias("_k")))
+    keys, entries, every = by.agg(F.count("*"), F.coalesce(F.sum("_k"), F.lit(0)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    if keys * 64 + entries * 16 <= C.BROADCAST_BYTES // 4:
+        return rows.join(F.broadcast(by.drop("_n", "_k")), key, "left")
+    hot = by.filter(F.col("_n") * 1000 >= every).select(key, f"n_{key}", F.lit(True).alias("_hot"))
+    some = rows.join(F.broadcast(hot), key, "left")
+    cold = some.filter("_hot IS NULL").drop(f"n_{key}", "_hot").join(by.filter(F.col("_n") * 1000 < every).drop("_n", "_k"), key, "left")
+    return some.filter("_hot").drop("_hot").unionByName(cold)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "pages"))

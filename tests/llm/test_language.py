@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 from srcgraph.llm import language as L
 
 PAGES = "page_id long, url string, html string, lang string, host string, top int"
@@ -31,7 +32,7 @@ def brute(docs, pages):
     read = []
     for r in rows:
         b = bucket((r[2] or "").encode())
-        ll = [sum(math.log((counts[n][x] + L.SMOOTH_COUNT) / size[n]) for x in b) * min(1, L.TEXT_TRIGRAMS / max(1, len(b))) for n in names]
+        ll = [sum(math.log((counts[n][x] + L.SMOOTH_COUNT) / size[n]) for x in b) * L.EVIDENCE for n in names]
         read.append((ll, max(range(len(names)), key=lambda i: (ll[i], -i)) if b else None))
     total = [sum(t == i for _, t in read) for i in range(len(names))]
     seen = [defaultdict(lambda: [0] * len(names)) for _ in range(4)]
@@ -88,6 +89,21 @@ def test_evidence_decides_where_text_does_not(spark):
     assert [got[i].lang for i in (100, 101, 102)] == ["fr", "en", "fr"] and got[100].probability > 0.9
 
 
+def test_more_languages_and_hosts_than_are_sent_at_once_give_the_same(spark, sf, monkeypatch):
+    docs, pages = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/pages.parquet")
+    one = sorted(map(str, L.identify(docs, pages).select("doc_id", "page_id", "lang", F.round("probability", 6)).collect()))
+    monkeypatch.setattr(L, "LANGUAGES", 2)
+    monkeypatch.setattr(L.C, "BROADCAST_BYTES", 8)
+    assert len(L.train(docs)[1]) == 2
+    assert sorted(map(str, L.identify(docs, pages).select("doc_id", "page_id", "lang", F.round("probability", 6)).collect())) == one
+
+
+def test_a_whole_book_outweighs_its_host(spark):
+    docs = [(i, "the cat and the dog ", "en", "en", 0.0, 1) for i in range(200)] + [(300, "le chat et le chien ", "fr", "fr", 0.0, 1), (301, "le chat et le chien " * 5000, None, "en", 0.0, 1)]
+    got = {r.doc_id: r for r in L.identify(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], PAGES)).collect()}
+    assert got[301].lang == "fr" and got[301].probability > 0.999
+
+
 def test_hard_rows(spark):
     docs = [(1, None, "en", "a", 0.0, 1), (2, "", "en", None, 0.0, 1), (3, "hello there friend", "en", "a", 0.0, 1), (3, "hello there friend", "en", "a", 0.0, 1), (4, "bonjour mon ami", None, "a", 0.0, 1), (None, "mot " * 100000, "fr", "b", 0.0, 1)]
     pages = [(1, None, None, "q", "q", 1), (2, "", "", "q", "q", 1), (None, "http://", "<script>", "q", "q", 1), (4, "nonsense", "<" * 5000, "q", "q", 1), (5, "http://a:80/", '<html lang=ZZ>hello</html>', "q", "q", 1)]
