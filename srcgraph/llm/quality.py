@@ -1,12 +1,13 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 Statistics of each whole text are computed in numpy over chunks of bytes. The trees are fitted on a sample of
-labelled documents of at most ``MAX_LABELLED`` rows (those of least hash of ``doc_id``; the bound is a parameter), and
-every document is scored.
+labelled documents of at most ``MAX_LABELLED`` rows (those of least hash of ``doc_id``, one row an id; the bound is a
+parameter), and every document is scored.
 
 Defined results: a null text, or one without a word, scores 0 and is rejected; null labels don't count; several labels
 of a document are averaged and count as 1 from 0.5 on; without labels, or with one class only, the score is that
-class's smoothed share, the same for all texts; repeated rows are each scored; a null ``doc_id`` is scored like any;
+class's smoothed share, the same for all texts; repeated rows are each scored, and of those that share a labelled
+``doc_id`` the one of least statistics is fitted; a null ``doc_id`` is scored like any;
 empty tables give empty results; columns besides ``doc_id`` and ``text`` pass through untouched.
 """
 
@@ -102,17 +103,18 @@ def score_column(model: boosting.Trees, column: pa.Array) -> np.ndarray:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo, hi, data, offsets, _ in C.chunks(b.column(1)):
+        for lo, hi, data, offsets, _ in C.chunks(b.column(2)):
             x = features(data, offsets)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), len(FEATURES)).cast(pa.list_(pa.float32()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), len(FEATURES)).cast(pa.list_(pa.float32()))], names=["id", "y", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> boosting.Trees:
     """Trees fitted on at most ``max_labelled`` labelled documents."""
     y = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_sg_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("_sg_y"))
     y = y.orderBy(F.xxhash64("_sg_id"), "_sg_id").limit(max_labelled)
-    rows = docs.select(F.col("doc_id").alias("_sg_id"), "text").filter("text IS NOT NULL").join(F.broadcast(y), "_sg_id").select("_sg_y", "text")
-    got = rows.mapInArrow(C.trimmed(_sampled), "y int, x array<float>").toArrow()
+    rows = docs.select(F.col("doc_id").alias("_sg_id"), "text").filter("text IS NOT NULL").join(F.broadcast(y), "_sg_id").select("_sg_id", "_sg_y", "text")
+    schema = T.StructType([T.StructField("id", docs.schema["doc_id"].dataType), T.StructField("y", T.IntegerType()), T.StructField("x", T.ArrayType(T.FloatType()))])
+    got = rows.mapInArrow(C.trimmed(_sampled), schema).groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x")).select("y", "x").toArrow()
     x = np.array(got.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES))
     t = got.column("y").to_numpy().astype(float)
     ok = ~np.isnan(x[:, 0])

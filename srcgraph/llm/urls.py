@@ -1,7 +1,8 @@
 """URL filter: gradient-boosted trees on lexical features, trained from labelled URLs.
 
 Features come from the address alone (lengths, path depth, digit ratios, entropies, parameter counts, ...) and from
-statistics of its suffix, the last label of its host: how many addresses and hosts it has over all rows, and the
+statistics of its suffix, the last label of its host (the last two where a country's registry sells names under a second one,
+as in ``co.uk``; ``ip`` for a number): how many addresses and hosts it has over all rows, and the
 smoothed share of bad ones among the labelled, each labelled row left out of its own. All string work is done by
 Arrow kernels and numpy over whole batches.
 
@@ -11,7 +12,7 @@ addresses look like. At most ``MAX_LABELLED`` labelled rows are fitted (those of
 cover all rows.
 
 Defined results: a null or empty url has no host and scores 0; what isn't a URL is treated as a host and path; null
-labels don't count; repeated rows are each scored; a null ``page_id`` stays null; without labels, or with one class, the
+labels don't count; of rows that tie for the sample's last place those of lesser url go first; repeated rows are each scored; a null ``page_id`` stays null; without labels, or with one class, the
 score is that class's smoothed share; empty tables give empty results; columns besides ``page_id`` and ``url`` are not
 looked at.
 """
@@ -41,7 +42,9 @@ def host(url: Column) -> Column:
 
 
 def suffix(url: Column) -> Column:
-    return F.regexp_extract(F.regexp_replace(host(url), r":\d*$", ""), r"([^.]*)\.?$", 1)
+    h = F.regexp_replace(F.regexp_replace(host(url), r"^.*@", ""), r":\d*$", "")
+    plain = F.regexp_extract(h, r"(?:^|[^.]*\.)((?:co|com|org|net|gov|edu|ac)\.[a-z]{2}|[^.]*)\.?$", 1)
+    return F.when(h.rlike(r"^(?:\d+\.){3}\d+$|^\["), F.lit("ip")).otherwise(plain)
 
 
 def _entropy(column: pa.Array) -> np.ndarray:
