@@ -40,11 +40,20 @@ def brute(rows):
     return sorted(sorted(g) for g in out.values() if len(g) > 1)
 
 
+def classes(df):
+    out = defaultdict(list)
+    for r in N.near_duplicates(df).collect():
+        out[r.class_id].append(r.doc_id)
+        assert r.n_links > 0
+    assert all(c == min(ids) for c, ids in out.items())
+    return sorted(sorted(ids) for ids in out.values())
+
+
 def test_matches_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want = brute(rows)
-    got = sorted(r.doc_ids for r in N.near_duplicate_groups(docs).collect())
+    got = classes(docs)
     pairs = lambda groups: {(a, b) for g in groups for a in g for b in g if a < b}
     assert pairs(got) <= pairs(want)
     assert len(pairs(got)) >= 0.9 * len(pairs(want))
@@ -62,14 +71,14 @@ def test_planted(spark):
             near[at] = rng.choice(words)
         rows += [(10 * i, " ".join(b)), (10 * i + 1, " ".join(b)), (10 * i + 2, " ".join(near)), (10 * i + 3, " ".join(rng.choices(words, k=120)))]
         want.append([10 * i, 10 * i + 1, 10 * i + 2])
-    assert sorted(r.doc_ids for r in N.near_duplicate_groups(frame(spark, rows)).collect()) == want
+    assert classes(frame(spark, rows)) == want
 
 
 def test_hard_rows(spark):
     long = "word%d " * 30000 % tuple(range(30000))
     rows = [(1, None), (2, None), (3, ""), (4, ""), (5, "?!"), (6, "Hi there"), (7, "hi, there!"), (8, "hi"), (9, long), (10, long + " end"), (None, "Hi there"), (11, "a b c d e f"), (11, "a b c d e f"), (12, "x y z q w")]
     df = frame(spark, rows)
-    got = sorted(r.doc_ids for r in N.near_duplicate_groups(df).collect())
+    got = classes(df)
     assert got == [[3, 4], [6, 7], [9, 10], [11, 11]]
     kept = N.drop_near_duplicates(df)
     assert kept.columns == df.columns
@@ -79,7 +88,7 @@ def test_hard_rows(spark):
 
 def test_empty(spark):
     df = frame(spark, [])
-    assert N.near_duplicate_groups(df).count() == 0
+    assert N.near_duplicates(df).count() == 0
     assert N.drop_near_duplicates(df).count() == 0
 
 
@@ -87,7 +96,7 @@ def test_chain_is_one_group(spark):
     """Neighbours are similar, ends aren't: one component."""
     w = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(w[20 * i : 20 * i + 100])) for i in range(8)]
-    assert [r.doc_ids for r in N.near_duplicate_groups(frame(spark, rows)).collect()] == brute(rows) == [list(range(8))]
+    assert classes(frame(spark, rows)) == brute(rows) == [list(range(8))]
 
 
 def test_sketch_fills_and_estimates():
@@ -106,3 +115,45 @@ def test_sketch_does_not_depend_on_its_batch():
     h = rng.integers(0, 2**63, 90).astype(np.uint64)
     both = N.sketch(h.copy(), np.repeat([0, 1], [20, 70]), 2)
     assert (both[1] == N.sketch(h[20:].copy(), np.zeros(70, int), 1)[0]).all()
+
+
+def shared_passage(n, words=100, own=120):
+    """n documents that share a passage (similarity about 0.28) and have nothing else in common, and n // 50 near copies."""
+    rng = random.Random(n)
+    passage = [f"p{i}" for i in range(words)]
+    rows = [(i, [*passage, *(f"d{i}x{j}" for j in range(own))]) for i in range(n)]
+    for i in range(n // 50):
+        t = list(rows[7 * i][1])
+        for at in rng.sample(range(len(t)), 6):
+            t[at] = f"e{i}x{at}"
+        rows.append((n + i, t))
+    return [(i, " ".join(t)) for i, t in rows], [[7 * i, n + i] for i in range(n // 50)]
+
+
+def test_a_passage_that_many_share_costs_no_pairs(spark):
+    """Pairs that are verified grow with the documents, not with their square, and no link is lost."""
+    pairs = {}
+    for n in (250, 500, 1000):
+        rows, want = shared_passage(n)
+        df = frame(spark, rows)
+        c = N.Classes(df)
+        pairs[n] = c.pairs.count() + c.first.count()
+        found = {tuple(sorted((x.a, x.b))) for x in c.links.collect()}
+        ids = {r.node: r._sg_id for r in c.nodes.collect()}
+        assert sorted(sorted((ids[a], ids[b])) for a, b in found) == want
+    print(pairs)
+    assert pairs[1000] < 4.6 * pairs[250] and pairs[1000] < 20 * 1000
+
+
+def test_prefixes_lose_no_pair(spark):
+    rng = random.Random(9)
+    sets = []
+    for i in range(160):
+        base = sets[rng.randrange(len(sets))][1] if sets and rng.random() < 0.7 else []
+        kept = [x for x in base if rng.random() < rng.choice([0.5, 0.7, 0.9])]
+        sets.append((i, sorted({*kept, *rng.sample(range(60 if i % 3 else 5000), rng.randint(1, 30))})))
+    df = spark.createDataFrame(sets, "node long, shingles array<long>")
+    nodes = df.selectExpr("node", "node % 40 AS comp")
+    want = {(a, b) for a, x in sets for b, y in sets if a < b and a % 40 != b % 40 and len({*x} & {*y}) >= N.THRESHOLD * len({*x} | {*y})}
+    got = {(r.a, r.b) for r in N.prefix_pairs(nodes, df).collect()}
+    assert len(want) > 30 and want <= got and len(got) < 160 * 159 / 2
