@@ -1,15 +1,16 @@
 """Language-model scoring by online logistic context mixing.
 
-Predictors guess a byte's bits one by one, highest first. Each has contexts of its own: the last 1, 2, 3 or 5 bytes, as they
-are in a corpus of more than ``SMALL_BYTES``, hashed to ``SLOTS`` slots in a smaller one. A context has 255 nodes, one for
-each prefix of a byte. Node counts of zeros and ones are gathered from all
-documents; their log-odds are the predictor's output. A document is then coded bit by bit: the predictors' log-odds are
-combined by a set of weights that the bit's position gates, weights move along the gradient of the coding cost after
-each byte, and the mix is refined by a table, by bit position and by the mix itself rounded, of corrections that are
+Predictors guess a byte's bits one by one, highest first. Three have the last 2, 3 or 5 bytes as their context, the fourth,
+where a word begins, a hash of the last ``LONG`` bytes (elsewhere it says nothing). A context has 255 nodes, one for
+each prefix of a byte. How often a byte follows a context is counted over all documents, whatever the size of the
+corpus; the predictor's output is the log-odds of a one at the node, of those counts less one, as one occurrence is
+the scored text's own: what occurs nowhere else is not known. A document is then coded bit by bit: the predictors'
+log-odds are combined by a set of weights that the bit's position gates, weights move along the gradient of the coding cost
+after each byte, and the mix is refined by a table, by bit position and by the mix itself rounded, of corrections that are
 learned likewise as the text goes by. Weights and corrections start afresh in every document, so scores don't depend on the order
-of documents. ``total_bits`` is the cost of all bits; documents are in the counts themselves.
+of documents. ``total_bits`` is the cost of all bits. A text that occurs twice is known to the long contexts, and costs less.
 
-Counting and scoring are numpy passes. Only pairs of a context and a byte that occur are counted and kept, so the model grows
+Counting and scoring are numpy passes. Only pairs of a context and a byte that occur are counted, and those that occur again kept, so the model grows
 with the corpus and nothing bounds it: it is never in one place, but in files of the shared folder, one for each predictor and
 group of contexts, with sorted pairs and the log-odds on each one's way. A scoring task maps the files and takes from
 them what its batch of texts needs. Scoring runs many documents in step, longest first, one byte of each at a time.
@@ -21,8 +22,6 @@ not looked at.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,14 +34,14 @@ from pyspark.sql import types as T
 
 from srcgraph.llm import common as C
 
-ORDERS, SLOTS = (1, 2, 3, 5), (1 << 8, 1 << 12, 1 << 15, 1 << 15)
-SMALL_BYTES = 1 << 20  # corpora up to this share slots; larger ones have each context on its own
+ORDERS, LONG = (2, 3, 5), 11
+K = len(ORDERS) + 1  # predictors
 GROUP_BYTES = 1 << 24  # of the corpus, for each group of contexts
 PAIRS, COUNTED = 4 << 20, 1 << 31  # pairs a task gathers, and bytes it counts, before it sends them
-SCALE, PRIOR = 16.0, 0.4  # log-odds are kept in 16ths; what is added to each count
+SCALE, PRIOR = 16.0, (0.4, 0.4, 0.4, 0.1)  # log-odds are kept in 16ths; what is added to each count
 LANES, STEPS = 2048, 32  # documents in step; bytes whose inputs are prepared at once
-RATE, START, REFINE_RATE, REFINE_CELLS = 0.001, 0.35, 0.03, 17
-_MIX = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1)]
+RATE, START, REFINE_RATE, REFINE_CELLS = 0.001, (0.35, 0.35, 0.35, 0.7), 0.03, 17
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A byte's bits.
 BITS = (np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1).astype(np.float32)
 #: The first bytes of a word, by how many bits two bytes differ in from the highest such bit on.
@@ -50,20 +49,6 @@ _SHARED = np.array([(1 << 8 * (9 - n)) - 1 if n > 1 else (1 << 64) - 1 for n in
 _WIDTH = np.array([n.bit_length() for n in range(256)])
 
 
-def slots(previous: list[np.ndarray], k: int) -> np.ndarray:
-    """Slot of predictor k in a small corpus, from the bytes before: previous[0] is the last one."""
-    h = previous[0].astype(np.uint32)
-    if k == 0:
-        return h.astype(np.int64)
-    h *= _MIX[0]
-    for j in range(1, ORDERS[k]):
-        h += previous[j].astype(np.uint32) * _MIX[j]
-    h ^= h >> np.uint32(15)
-    h *= np.uint32(0x2C1B3C6D)
-    h >>= np.uint32(32 - (SLOTS[k].bit_length() - 1))
-    return h.astype(np.int64)
-
-
 def windows(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Each byte, with the ones before it within its row above it, 0 before its start."""
     most = max(ORDERS)
@@ -76,12 +61,25 @@ def windows(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return w
 
 
-def pairs(w: np.ndarray, k: int, exact: bool) -> np.ndarray:
+def pairs(w: np.ndarray, k: int) -> np.ndarray:
     """Predictor k's context and the byte, of windows."""
-    if exact:
-        return w & np.uint64((1 << 8 * (ORDERS[k] + 1)) - 1)
-    previous = [(w >> np.uint64(8 * j)) & np.uint64(255) for j in range(1, ORDERS[k] + 1)]
-    return slots(previous, k).astype(np.uint64) << np.uint64(8) | w & np.uint64(255)
+    return w & np.uint64((1 << 8 * (ORDERS[k] + 1)) - 1)
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where, the long predictor's context and the byte) of each byte that begins a row or follows a space or a line's end."""
+    after = np.zeros(len(data), bool)
+    after[1:] = (data[:-1] == 32) | (data[:-1] == 10)
+    first = offsets[:-1]
+    after[first[first < offsets[1:]]] = True
+    at = np.flatnonzero(after)
+    start = first[np.searchsorted(first, at, "right") - 1]
+    h = np.zeros(len(at), np.uint64)
+    for j in range(LONG, 0, -1):
+        byte = np.where(at - j >= start, data[np.maximum(at - j, 0)], 0)
+        h = h * _MIX + byte.astype(np.uint64)
+        h ^= h >> np.uint64(29)
+    return at, C.mix(h) << np.uint64(8) | data[at].astype(np.uint64)
 
 
 def group(keys: np.ndarray, groups: int) -> np.ndarray:
@@ -96,40 +94,72 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
-def _counter(groups: int, exact: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def sent(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        w, n = (np.concatenate(x) for x in zip(*found))
-        for k in range(len(ORDERS)):
-            keys, counts = summed(pairs(w, k, exact), n)
-            g = group(keys, groups)
+def _counter(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    names = ["k", "g", "once", "part"]
+
+    def parts(k: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """By group: keys that came once as they are, others with their counts."""
+        for once in (True, False):
+            pick = (counts == 1) == once
+            own, n = keys[pick], counts[pick]
+            g = group(own, groups)
             order = np.argsort(g, kind="stable")
-            keys, counts, g = keys[order].astype("<u8"), counts[order].astype("<u4"), g[order]
-            edges = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)]
+            own, n, g = own[order].astype("<u8"), n[order].astype("<u4"), g[order]
+            edges = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)] if len(g) else np.zeros(1, int)
             for i in range(0, len(edges) - 1, 64):
                 ends = edges[i : i + 65]
-                raw = [keys[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(raw), pa.int32()), pa.array(g[ends[:-1]], pa.int64()), pa.array(raw, pa.binary())], names=["k", "g", "part"])
+                raw = [own[a:b].tobytes() + (b"" if once else n[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(raw), pa.int32()), pa.array(g[ends[:-1]], pa.int64()), pa.array([once] * len(raw)), pa.array(raw, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, most, done = [], PAIRS, 0
+        near, far = Sums(), Sums()
+        done = 0
         for b in batches:
             for _, _, data, offsets, _ in C.chunks(b.column(0)):
                 for lo in range(0, len(data), C.CHUNK_BYTES):
                     e = pa.array(block(data, offsets[:-1], lo)).dictionary_encode()
-                    found.append((e.dictionary.to_numpy(), np.bincount(e.indices.to_numpy())))
+                    near.add(e.dictionary.to_numpy(), np.bincount(e.indices.to_numpy()))
+                keys = word_starts(data, offsets)[1]
+                far.add(keys, np.ones(len(keys), np.int64))
                 done += len(data)
-                if sum(len(w) for w, _ in found) > most:
-                    found = [summed(*(np.concatenate(x) for x in zip(*found)))]
-                    most = max(PAIRS, 2 * len(found[0][0]))
-                if found and (len(found[0][0]) > PAIRS or done > COUNTED):
-                    yield from sent(found)
-                    found, most, done = [], PAIRS, 0
-        if found:
-            yield from sent(found)
+                if near.full() or far.full() or done > COUNTED:
+                    w, n = near.take()
+                    for k in range(len(ORDERS)):
+                        yield from parts(k, *summed(pairs(w, k), n))
+                    yield from parts(K - 1, *far.take())
+                    done = 0
+        w, n = near.take()
+        for k in range(len(ORDERS)):
+            yield from parts(k, *summed(pairs(w, k), n))
+        yield from parts(K - 1, *far.take())
 
     return C.trimmed(run)
 
 
+class Sums:
+    """Counts of keys, added up whenever what is gathered has grown to twice what was there."""
+
+    def __init__(self):
+        self.found, self.size, self.most = [], 0, PAIRS
+
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.found.append((keys, counts))
+        self.size += len(keys)
+        if self.size > self.most:
+            self.found = [summed(*(np.concatenate(x) for x in zip(*self.found)))]
+            self.size = len(self.found[0][0])
+            self.most = max(PAIRS, 2 * self.size)
+
+    def full(self) -> bool:
+        return self.most > PAIRS
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """All keys in order and their counts; then nothing is left."""
+        out = summed(*(np.concatenate(x) for x in zip(*self.found))) if self.found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.__init__()
+        return out
+
+
 def block(data: np.ndarray, starts: np.ndarray, lo: int) -> np.ndarray:
     """Windows of ``CHUNK_BYTES`` of the data, from lo on."""
     most, hi = max(ORDERS), min(lo + C.CHUNK_BYTES, len(data))
@@ -138,7 +168,7 @@ def block(data: np.ndarray, starts: np.ndarray, lo: int) -> np.ndarray:
     return windows(data[a:hi], near - a)[lo - a :]
 
 
-def log_odds(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def log_odds(keys: np.ndarray, counts: np.ndarray, prior: float) -> np.ndarray:
     """Of pairs in order: log-odds of a one at the 8 nodes on the byte's way, in 16ths, as one 64-bit word."""
     out = np.zeros((len(keys), 8), np.int8)
     child = counts.astype(np.float64)
@@ -146,7 +176,7 @@ def log_odds(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         node = keys >> np.uint64(8 - j)
         first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
         both = np.repeat(np.add.reduceat(counts.astype(np.float64), first), np.diff(np.r_[first, len(keys)]))
-        x = np.log((child + PRIOR) / (both - child + PRIOR)) * SCALE
+        x = np.log((child + prior) / (both - child + prior)) * SCALE
         one = (keys >> np.uint64(7 - j)) & np.uint64(1) == 1
         out[:, j] = np.clip(np.rint(np.where(one, x, -x)), -127, 127)
         child = both
@@ -158,45 +188,42 @@ def _located(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def _reducer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def kept(k: int, g: int, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        keys, counts = summed(*(np.concatenate(x) for x in zip(*found)))
+    def kept(k: int, g: int, sums: Sums) -> Iterator[pa.RecordBatch]:
+        keys, counts = sums.take()
+        keys, counts = keys[counts > 1], counts[counts > 1] - 1
+        if not len(keys):
+            return
         at, path = _located(folder)
         name = f"{k}-{g}-{uuid.uuid4().hex}"
         with at.open_output_stream(f"{path}/{name}") as f:
             f.write(keys.astype("<u8").tobytes())
-            f.write(log_odds(keys, counts).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([g], pa.int64()), pa.array([name])], names=["k", "g", "name"])
+            f.write(log_odds(keys, counts, PRIOR[k]).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([g], pa.int64()), pa.array([name])], names=["k", "g", "name"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, found, most = None, [], PAIRS
+        now, sums = None, Sums()
         for b in batches:
-            for k, g, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            for k, g, once, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
                 if now != (k, g):
-                    if found:
-                        yield kept(*now, found)
-                    now, found, most = (k, g), [], PAIRS
+                    if now is not None:
+                        yield from kept(*now, sums)
+                    now = (k, g)
                 raw = raw.as_buffer()
-                n = raw.size // 12
-                found.append((np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.uint64)))
-                if sum(len(x) for x, _ in found) > most:
-                    found = [summed(*(np.concatenate(x) for x in zip(*found)))]
-                    most = max(PAIRS, 2 * len(found[0][0]))
-        if found:
-            yield kept(*now, found)
+                n = raw.size // (8 if once else 12)
+                sums.add(np.frombuffer(raw, "<u8", n), np.ones(n, np.int64) if once else np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64))
+        if now is not None:
+            yield from kept(*now, sums)
 
     return C.trimmed(run)
 
 
 class Table:
-    """A predictor's pairs in files by group; ``len`` is how many contexts there can be."""
+    """A predictor's pairs in files by group."""
 
-    def __init__(self, k: int, exact: bool, groups: int, folder: str):
-        self.k, self.exact, self.groups, self.folder, self.names = k, exact, groups, folder, {}
+    def __init__(self, k: int, groups: int, folder: str):
+        self.k, self.groups, self.folder, self.names = k, groups, folder, {}
         self._open: dict[int, np.ndarray] = {}
 
-    def __len__(self) -> int:
-        return 1 << 8 * ORDERS[self.k] if self.exact else SLOTS[self.k]
-
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_open": {}}
 
@@ -204,21 +231,19 @@ class Table:
         return bool(self.names)
 
     def part(self, g: int) -> np.ndarray:
-        """A group's pairs and their words, as two rows."""
-        if g not in self._open:
-            at, path = _located(f"{self.folder}/{self.names[g]}")
-            local = path
-            if not isinstance(at, fs.LocalFileSystem):
-                local = tempfile.mktemp(prefix="lm-")
-                fs.copy_files(path, local, at, fs.LocalFileSystem())
-            self._open[g] = np.memmap(local, np.uint64, "r").reshape(2, -1)
-            if local != path:
-                os.unlink(local)
-        return self._open[g]
-
-    def words(self, w: np.ndarray) -> np.ndarray:
-        """Words of some windows."""
-        keys, back = np.unique(pairs(w, self.k, self.exact), return_inverse=True)
+        """A group's pairs and their words, as two rows: mapped where the shared folder is mounted, else read and not kept."""
+        if g in self._open:
+            return self._open[g]
+        at, path = _located(f"{self.folder}/{self.names[g]}")
+        if isinstance(at, fs.LocalFileSystem):
+            self._open[g] = np.memmap(path, np.uint64, "r").reshape(2, -1)
+            return self._open[g]
+        with at.open_input_file(path) as f:
+            return np.frombuffer(f.read(), np.uint64).reshape(2, -1)
+
+    def words(self, keys: np.ndarray) -> np.ndarray:
+        """Words of some pairs."""
+        keys, back = np.unique(keys, return_inverse=True)
         g = group(keys, self.groups)
         order = np.argsort(g, kind="stable")
         out = np.zeros(len(keys), np.uint64)
@@ -243,27 +268,23 @@ def train(docs: DataFrame) -> list[Table]:
     """The predictors' tables, from all documents."""
     texts = docs.select("text").filter("text IS NOT NULL")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    exact, groups = size > SMALL_BYTES, 1 + size // GROUP_BYTES
+    groups = 1 + size // GROUP_BYTES
     folder = C.scratch(docs.sparkSession, "lm")
     at, path = _located(folder)
     at.create_dir(path)
-    parts = texts.mapInArrow(_counter(groups, exact), "k int, g long, part binary").repartition("k", "g").sortWithinPartitions("k", "g")
-    tables = [Table(k, exact, groups, folder) for k in range(len(ORDERS))]
+    parts = texts.mapInArrow(_counter(groups), "k int, g long, once boolean, part binary").repartition("k", "g").sortWithinPartitions("k", "g")
+    tables = [Table(k, groups, folder) for k in range(K)]
     for r in parts.mapInArrow(_reducer(folder), "k int, g long, name string").collect():
         tables[r.k].names[r.g] = r.name
     return tables
 
 
-def packed(tables: list[Table]) -> list[Table]:
-    """The tables as scoring takes them."""
-    return tables
-
-
-def bits(words: list[np.ndarray], index: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Total bits of each of some texts, which must come longest first; index: of each byte's words."""
+def bits(words: list[np.ndarray], index: list[np.ndarray], data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Total bits of each of some texts, which must come longest first; index: of each byte's words, by predictor."""
     lanes, n = len(starts), len(words)
     total = np.zeros(lanes)
-    weight = np.full((n, lanes, 8), START / SCALE, np.float32)
+    weight = np.empty((n, lanes, 8), np.float32)
+    weight[:] = np.array(START, np.float32)[:n, None, None] / np.float32(SCALE)
     refine = np.zeros(lanes * 8 * REFINE_CELLS, np.float32)
     cell = (np.arange(lanes * 8, dtype=np.int64) * REFINE_CELLS).reshape(lanes, 8)
     rate, half = np.float32(RATE / SCALE), np.float32(0.5)
@@ -276,10 +297,10 @@ def bits(words: list[np.ndarray], index: np.ndarray, data: np.ndarray, starts: n
         w, c = weight[:, :live], cell[:live]
         when = np.arange(t0, t0 + steps)[:, None]
         at = np.minimum(starts[:live] + when, len(data) - 1)
-        now, pick = data[at], index[at]
+        now = data[at]
         x = np.empty((steps, n, live, 8), np.float32)
         for k in range(n):
-            x[:, k] = words[k].take(pick).view(np.int8).reshape(steps, live, 8)
+            x[:, k] = words[k].take(index[k][at]).view(np.int8).reshape(steps, live, 8)
         bit = BITS[now]
         logit = np.empty((steps, live, 8), np.float32)
         tmp, mix, p = np.empty((n, live, 8), np.float32), np.empty((live, 8), np.float32), np.empty((live, 8), np.float32)
@@ -334,9 +355,17 @@ def score_column(model: list[Table], column: pa.Array) -> tuple[np.ndarray, np.n
         return size, out
     each = [pa.array(block(data, offsets[:-1], lo)).dictionary_encode() for lo in range(0, len(data), C.CHUNK_BYTES)]
     each = pa.chunked_array(each).unify_dictionaries().chunks
-    words = [t.words(each[-1].dictionary.to_numpy()) for t in model]
-    index = np.concatenate([e.indices.to_numpy() for e in each])
-    del each
+    seen = each[-1].dictionary.to_numpy()
+    words = [t.words(pairs(seen, k)) for k, t in enumerate(model[:-1])]
+    index = [np.concatenate([e.indices.to_numpy() for e in each])] * len(ORDERS)
+    del each, seen
+    at, keys = word_starts(data, offsets)
+    long = model[-1].words(keys)
+    known = np.flatnonzero(long)
+    words.append(np.r_[np.zeros(1, np.uint64), long[known]])
+    index.append(np.zeros(len(data), np.int32))
+    index[-1][at[known]] = np.arange(1, len(known) + 1)
+    del at, keys, long, known
     for i in range(0, len(order), LANES):
         pick = order[i : i + LANES]
         if size[pick[0]]:
@@ -356,7 +385,7 @@ def _scorer(model: list[Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 def score(docs: DataFrame, tables: list[Table] | None = None) -> DataFrame:
     """(doc_id, n_bytes, total_bits, bits_per_byte) for every row, by a model of ``docs`` or a given one."""
-    model = packed(train(docs) if tables is None else tables)
+    model = train(docs) if tables is None else tables
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("total_bits", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
     return docs.select("doc_id", "text").mapInArrow(_scorer(model), schema)
 
