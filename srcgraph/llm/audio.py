@@ -11,7 +11,8 @@ by ``doc_id`` mod 3: any byte string is a valid payload of all three.
 Defined results: a null payload, an unknown or null codec, or a rate that is null or not positive gives null PCM and 0
 samples; an empty payload gives empty PCM; an ADPCM block cut short decodes as far as it goes, and one without a whole
 header (4 bytes) has no samples; indices past 88 count as 88; samples beyond 16 bits are clipped; repeated rows are each
-decoded; a null ``doc_id`` stays null (and is mu-law in the query); empty tables give empty results.
+decoded; a null ``doc_id`` stays null (and is mu-law in the query); empty tables give empty results; other columns, whatever
+their names, pass by untouched in the input and are not in the result.
 """
 
 from __future__ import annotations

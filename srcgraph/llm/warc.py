@@ -6,13 +6,15 @@ is split or on the number of executors. A task writes a shard: records in order,
 closed before a record would take them past ``FILE_BYTES`` compressed bytes. Headers, record ids and digests are made anew
 from the content, and the date is a parameter, so the same table always gives the same bytes.
 
-A file is written under a temporary name of its own attempt and then renamed; a repeated or speculative attempt makes
-the same bytes under the same name. When all shards are written, the driver writes ``manifest.json`` (files, sizes,
+A file is written under a temporary name of its own attempt, summed as it is written, and then renamed; a repeated or
+speculative attempt makes the same bytes under the same name, and where that is taken already its own copy goes. When all shards are written, the driver writes ``manifest.json`` (files, sizes,
 records, SHA-256), likewise by renaming: a folder without it isn't complete, and files that it doesn't list aren't part
 of the output.
 
+The folder is a URI that pyarrow's file systems know, ``s3a`` being read as ``s3``; any other fails before a row is read.
+
 Defined results: nulls sort first; a null url is written as ``urn:page:<page_id>``; characters that a header can't hold are
-percent-encoded; a null html is an empty payload; rows equal in all three columns stand side by side with ids of their
+percent-encoded in both; a null html is an empty payload; rows equal in all three columns stand side by side with ids of their
 own; a record larger than ``FILE_BYTES`` has a file to itself; an empty table gives a manifest without files; other
 columns are not looked at.
 """
@@ -22,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import urllib.parse
 import uuid
 import zlib
@@ -50,7 +53,7 @@ def _member(data: bytes) -> bytes:
 
 
 def target_uri(url: str | None, page_id) -> str:
-    return urllib.parse.quote(url, safe=_SAFE) if url is not None else f"urn:page:{page_id}"
+    return urllib.parse.quote(url, safe=_SAFE) if url is not None else f"urn:page:{urllib.parse.quote(str(page_id), safe=_SAFE)}"
 
 
 def response(url: str | None, page_id, html: str | None, again: int, date: str) -> tuple[bytes, str, str]:
@@ -70,11 +73,16 @@ def info(name: str, date: str) -> bytes:
     return f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {rid}\r\nWARC-Date: {date}\r\nWARC-Filename: {name}\r\nWARC-Block-Digest: {_sha1(block)}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
+def located(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))
+
+
 class _Files:
-    """The files of one shard, in order."""
+    """The files of one shard, in order; ``done``: (name, bytes, records, SHA-256) of those that are closed."""
 
     def __init__(self, folder: str, shard: int, date: str, limit: int, attempt: str):
-        self.fs, self.path = pafs.FileSystem.from_uri(folder)
+        self.fs, self.path = located(folder)
+        self.done: list[tuple[str, int, int, str]] = []
         self.shard, self.date, self.limit, self.attempt = shard, date, limit, attempt
         self.number, self.out = -1, None
 
@@ -87,7 +95,7 @@ class _Files:
             self.number += 1
             self.name = f"pages-{self.shard:08d}-{self.number:05d}.warc.gz"
             self.temp = f"{self.path}/.{self.name}.{self.attempt}"
-            self.out, self.size, self.records = self.fs.open_output_stream(self.temp, compression=None), 0, 0
+            self.out, self.size, self.records, self.sum = self.fs.open_output_stream(self.temp, compression=None), 0, 0, hashlib.sha256()
             self._put(_member(info(self.name, self.date)))
         at = self.size
         self._put(m)
@@ -96,26 +104,46 @@ class _Files:
 
     def _put(self, data: bytes) -> None:
         self.out.write(data)
+        self.sum.update(data)
         self.size += len(data)
 
     def close(self) -> None:
         if self.out is not None:
             self.out.close()
-            self.fs.move(self.temp, f"{self.path}/{self.name}")
+            at = f"{self.path}/{self.name}"
+            try:
+                self.fs.move(self.temp, at)
+            except OSError:
+                if self.fs.get_file_info(at).size != self.size:  # not the same bytes of another attempt
+                    raise
+                self.fs.delete_file(self.temp)
+            self.done.append((self.name, self.size, self.records, self.sum.hexdigest()))
             self.out = None
 
 
+_INDEX = ["page_id", "url", "warc_file", "file_offset", "record_length", "record_id", "payload_digest"]
+
+
 def _writer(folder: str, date: str, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row for each record; and for each file one with offset -1, the number of records as its length, and the file's bytes and SHA-256 as id and digest."""
+
+    def closed(files: _Files, kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        files.close()
+        if files.done:
+            n = len(files.done)
+            name, size, records, digest = zip(*files.done)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, kinds[0]), pa.nulls(n, kinds[1]), pa.array(name), pa.array([-1] * n, pa.int64()), pa.array(records, pa.int64()), pa.array(map(str, size), pa.string()), pa.array(digest)], names=_INDEX)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt = f"{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
-        files, last, again = None, None, 0
+        files, last, again, kinds = None, None, 0, []
         for b in batches:
-            rows = []
+            rows, kinds = [], [b.column(1).type, b.column(2).type]
             for shard, page_id, url, html in zip(*(c for c in b.columns)):
                 shard, page_id, url, html = shard.as_py(), page_id.as_py(), url.as_py(), html.as_py()
                 if files is None or files.shard != shard:
                     if files is not None:
-                        files.close()
+                        yield from closed(files, kinds)
                     files, last = _Files(folder, shard, date, limit, attempt), None
                 again = again + 1 if last == (page_id, url, html) else 0
                 last = (page_id, url, html)
@@ -123,9 +151,9 @@ def _writer(folder: str, date: str, limit: int) -> Callable[[Iterator[pa.RecordB
                 rows.append((page_id, url, *files.add(record), rid, digest))
             if rows:
                 cols = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(cols[2]), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5]), pa.array(cols[6])], names=["page_id", "url", "warc_file", "file_offset", "record_length", "record_id", "payload_digest"])
+                yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(cols[2]), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5]), pa.array(cols[6])], names=_INDEX)
         if files is not None:
-            files.close()
+            yield from closed(files, kinds)
 
     return run
 
@@ -137,7 +165,8 @@ def _identity() -> Column:
 
 def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, date: str = DATE) -> DataFrame:
     """Write ``pages`` to ``folder`` (a URI that all executors share) and return each record's place: page_id, url, warc_file, file_offset, record_length, record_id, payload_digest."""
-    spark = pages.sparkSession
+    base, path = located(folder)
+    base.create_dir(path, recursive=True)
     pages = pages.select("page_id", "url", "html")
     keys = pages.select("page_id", "url", _identity().alias("id"), (F.coalesce(F.octet_length("html"), F.lit(0)) + 512).cast("long").alias("size"))
     keys = keys.groupBy("url", "page_id", "id").agg(F.sum("size").alias("size"))
@@ -153,36 +182,16 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, fi
     small = F.broadcast(placed) if rows * 64 <= C.BROADCAST_BYTES else placed
     n = min(shards, 100_000)
     records = pages.withColumn("id", _identity()).join(small, "id").repartitionById(n, (F.col("shard") * n / shards).cast("int")).sortWithinPartitions("shard", *order)
-    base, path = pafs.FileSystem.from_uri(folder)
-    base.create_dir(path, recursive=True)
     schema = f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, warc_file string, file_offset long, record_length long, record_id string, payload_digest string"
-    index = C.cut(records.select("shard", "page_id", "url", "html").mapInArrow(_writer(folder, date, file_bytes), schema))
-    _commit(index, folder)
-    return index
-
-
-def _checks(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, path = pafs.FileSystem.from_uri(folder)
-        for b in batches:
-            sums, sizes = [], []
-            for name in b.column(0).to_pylist():
-                h, n = hashlib.sha256(), 0
-                with at.open_input_stream(f"{path}/{name}", compression=None) as f:
-                    while piece := f.read(1 << 20):
-                        h.update(piece)
-                        n += len(piece)
-                sums.append(h.hexdigest())
-                sizes.append(n)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())], names=["file", "records", "bytes", "sha256"])
-
-    return run
+    written = C.cut(records.select("shard", "page_id", "url", "html").mapInArrow(_writer(folder, date, file_bytes), schema))
+    _commit(written.filter("file_offset < 0"), folder)
+    return written.filter("file_offset >= 0")
 
 
-def _commit(index: DataFrame, folder: str) -> None:
+def _commit(files: DataFrame, folder: str) -> None:
     """The manifest has one line for each file; it grows with the files, not with the records."""
-    files = index.groupBy(F.col("warc_file").alias("file")).agg(F.count("*").alias("records")).mapInArrow(_checks(folder), "file string, records long, bytes long, sha256 string")
-    at, path = pafs.FileSystem.from_uri(folder)
+    files = files.select(F.col("warc_file").alias("file"), F.col("record_length").alias("records"), F.col("record_id").cast("long").alias("bytes"), F.col("payload_digest").alias("sha256"))
+    at, path = located(folder)
     temp = f"{path}/.manifest.{uuid.uuid4().hex}"
     with at.open_output_stream(temp, compression=None) as out:
         out.write(b'{"format": "WARC/1.0", "files": [')
