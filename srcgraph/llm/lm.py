@@ -1,19 +1,21 @@
 """Language-model scoring by online logistic context mixing.
 
-Predictors guess a byte's bits one by one, highest first. Three have the last 2, 3 or 5 bytes as their context, the fourth,
-where a word begins, a hash of the last ``LONG`` bytes (elsewhere it says nothing). A context has 255 nodes, one for
-each prefix of a byte. How often a byte follows a context is counted over all documents, whatever the size of the
-corpus; the predictor's output is the log-odds of a one at the node, of those counts less one, as one occurrence is
-the scored text's own: what occurs nowhere else is not known. A document is then coded bit by bit: the predictors'
-log-odds are combined by a set of weights that the bit's position gates, weights move along the gradient of the coding cost
-after each byte, and the mix is refined by a table, by bit position and by the mix itself rounded, of corrections that are
-learned likewise as the text goes by. Weights and corrections start afresh in every document, so scores don't depend on the order
-of documents. ``total_bits`` is the cost of all bits. A text that occurs twice is known to the long contexts, and costs less.
+Predictors guess a byte's bits one by one, highest first. Three have the last 2, 3 or 5 bytes as their context. A context has
+255 nodes, one for each prefix of a byte. How often a byte follows a context is counted over all documents, whatever
+the size of the corpus; the predictor's output is the log-odds of a one at the node, of those counts less one, as one
+occurrence is the scored text's own: what occurs nowhere else is not known. The fourth predictor's context is a hash of the
+text so far: of the text's first ``FIRST`` bytes, twice as many and so on, and of all of it, how many other texts begin
+with the same; where some do, it says how they go on, and with what odds. A document is then coded bit by bit: the
+predictors' log-odds are combined by a set of weights that the bit's position gates, weights move along the gradient of the
+coding cost after each byte, and the mix is refined by a table, by bit position and by the mix itself rounded, of
+corrections that are learned likewise as the text goes by. Weights and corrections start afresh in every document, so
+scores don't depend on the order of documents. ``total_bits`` is the cost of all bits. A text that occurs twice, or begins
+like another, is known to the fourth predictor and costs less.
 
 Counting and scoring are numpy passes. Only pairs of a context and a byte that occur are counted, and those that occur again kept, so the model grows
-with the corpus and nothing bounds it: it is never in one place, but in files of the shared folder, one for each predictor and
+with the corpus and nothing bounds it: it is never in one place, but (for short contexts) in files of the shared folder, one for each predictor and
 group of contexts, with sorted pairs and the log-odds on each one's way. A scoring task maps the files and takes from
-them what its batch of texts needs. Scoring runs many documents in step, longest first, one byte of each at a time.
+them what its texts need; texts' own beginnings are counted by grouped aggregation and joined to their rows. Scoring runs many documents in step, longest first, one byte of each at a time.
 
 Defined results: a null or empty text has 0 bytes and 0 bits, and null bits a byte; a null ``doc_id`` is scored like any;
 repeated rows are each counted and scored; empty tables give empty results; columns besides ``doc_id`` and ``text`` are
@@ -27,6 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,14 +37,13 @@ from pyspark.sql import types as T
 
 from srcgraph.llm import common as C
 
-ORDERS, LONG = (2, 3, 5), 11
+ORDERS, FIRST = (2, 3, 5), 64
 K = len(ORDERS) + 1  # predictors
-GROUP_BYTES = 1 << 24  # of the corpus, for each group of contexts
-PAIRS, COUNTED = 4 << 20, 1 << 31  # pairs a task gathers, and bytes it counts, before it sends them
+GROUP_BYTES, GROWTH = 1 << 24, 0.7  # groups of contexts: one, times this power of the corpus in such units, as contexts grow slower than texts
+PAIRS, COUNTED = 2 << 20, 1 << 31  # pairs a task gathers, and bytes it counts, before it sends them
 SCALE, PRIOR = 16.0, (0.4, 0.4, 0.4, 0.1)  # log-odds are kept in 16ths; what is added to each count
-LANES, STEPS = 2048, 32  # documents in step; bytes whose inputs are prepared at once
+LANES, STEPS, GROUP = 2048, 32, 8 << 20  # documents in step; bytes whose inputs are prepared at once; bytes of texts in step
 RATE, START, REFINE_RATE, REFINE_CELLS = 0.001, (0.35, 0.35, 0.35, 0.7), 0.03, 17
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 #: A byte's bits.
 BITS = (np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1).astype(np.float32)
 #: The first bytes of a word, by how many bits two bytes differ in from the highest such bit on.
@@ -66,20 +68,9 @@ def pairs(w: np.ndarray, k: int) -> np.ndarray:
     return w & np.uint64((1 << 8 * (ORDERS[k] + 1)) - 1)
 
 
-def word_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(where, the long predictor's context and the byte) of each byte that begins a row or follows a space or a line's end."""
-    after = np.zeros(len(data), bool)
-    after[1:] = (data[:-1] == 32) | (data[:-1] == 10)
-    first = offsets[:-1]
-    after[first[first < offsets[1:]]] = True
-    at = np.flatnonzero(after)
-    start = first[np.searchsorted(first, at, "right") - 1]
-    h = np.zeros(len(at), np.uint64)
-    for j in range(LONG, 0, -1):
-        byte = np.where(at - j >= start, data[np.maximum(at - j, 0)], 0)
-        h = h * _MIX + byte.astype(np.uint64)
-        h ^= h >> np.uint64(29)
-    return at, C.mix(h) << np.uint64(8) | data[at].astype(np.uint64)
+def level(t: int) -> int:
+    """Which beginning a byte belongs to: the first ``FIRST`` bytes are 0, as many again are 1, ..."""
+    return (t // FIRST).bit_length()
 
 
 def group(keys: np.ndarray, groups: int) -> np.ndarray:
@@ -95,43 +86,30 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _counter(groups: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["k", "g", "once", "part"]
-
-    def parts(k: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """By group: keys that came once as they are, others with their counts."""
-        for once in (True, False):
-            pick = (counts == 1) == once
-            own, n = keys[pick], counts[pick]
-            g = group(own, groups)
+    def sent(w: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(len(ORDERS)):
+            keys, counts = summed(pairs(w, k), n)
+            g = group(keys, groups)
             order = np.argsort(g, kind="stable")
-            own, n, g = own[order].astype("<u8"), n[order].astype("<u4"), g[order]
+            keys, counts, g = keys[order].astype("<u8"), counts[order].astype("<u4"), g[order]
             edges = np.r_[np.flatnonzero(np.r_[True, g[1:] != g[:-1]]), len(g)] if len(g) else np.zeros(1, int)
             for i in range(0, len(edges) - 1, 64):
                 ends = edges[i : i + 65]
-                raw = [own[a:b].tobytes() + (b"" if once else n[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(raw), pa.int32()), pa.array(g[ends[:-1]], pa.int64()), pa.array([once] * len(raw)), pa.array(raw, pa.binary())], names=names)
+                raw = [keys[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(raw), pa.int32()), pa.array(g[ends[:-1]], pa.int64()), pa.array(raw, pa.binary())], names=["k", "g", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, far = Sums(), Sums()
-        done = 0
+        sums, done = Sums(), 0
         for b in batches:
             for _, _, data, offsets, _ in C.chunks(b.column(0)):
                 for lo in range(0, len(data), C.CHUNK_BYTES):
                     e = pa.array(block(data, offsets[:-1], lo)).dictionary_encode()
-                    near.add(e.dictionary.to_numpy(), np.bincount(e.indices.to_numpy()))
-                keys = word_starts(data, offsets)[1]
-                far.add(keys, np.ones(len(keys), np.int64))
+                    sums.add(e.dictionary.to_numpy(), np.bincount(e.indices.to_numpy()))
                 done += len(data)
-                if near.full() or far.full() or done > COUNTED:
-                    w, n = near.take()
-                    for k in range(len(ORDERS)):
-                        yield from parts(k, *summed(pairs(w, k), n))
-                    yield from parts(K - 1, *far.take())
+                if sums.full() or done > COUNTED:
+                    yield from sent(*sums.take())
                     done = 0
-        w, n = near.take()
-        for k in range(len(ORDERS)):
-            yield from parts(k, *summed(pairs(w, k), n))
-        yield from parts(K - 1, *far.take())
+        yield from sent(*sums.take())
 
     return C.trimmed(run)
 
@@ -203,14 +181,14 @@ def _reducer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sums = None, Sums()
         for b in batches:
-            for k, g, once, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+            for k, g, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if now != (k, g):
                     if now is not None:
                         yield from kept(*now, sums)
                     now = (k, g)
                 raw = raw.as_buffer()
-                n = raw.size // (8 if once else 12)
-                sums.add(np.frombuffer(raw, "<u8", n), np.ones(n, np.int64) if once else np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64))
+                n = raw.size // 12
+                sums.add(np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u4", n, 8 * n).astype(np.int64))
         if now is not None:
             yield from kept(*now, sums)
 
@@ -265,29 +243,53 @@ def found(known: np.ndarray, words: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame) -> list[Table]:
-    """The predictors' tables, from all documents."""
+    """The tables of the predictors with short contexts, from all documents."""
     texts = docs.select("text").filter("text IS NOT NULL")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = 1 + size // GROUP_BYTES
+    groups = 1 + int((size / GROUP_BYTES) ** GROWTH)
     folder = C.scratch(docs.sparkSession, "lm")
     at, path = _located(folder)
     at.create_dir(path)
-    parts = texts.mapInArrow(_counter(groups), "k int, g long, once boolean, part binary").repartition("k", "g").sortWithinPartitions("k", "g")
-    tables = [Table(k, groups, folder) for k in range(K)]
+    parts = texts.mapInArrow(_counter(groups), "k int, g long, part binary").repartition("k", "g").sortWithinPartitions("k", "g")
+    tables = [Table(k, groups, folder) for k in range(len(ORDERS))]
     for r in parts.mapInArrow(_reducer(folder), "k int, g long, name string").collect():
         tables[r.k].names[r.g] = r.name
     return tables
 
 
-def bits(words: list[np.ndarray], index: list[np.ndarray], data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Total bits of each of some texts, which must come longest first; index: of each byte's words, by predictor."""
-    lanes, n = len(starts), len(words)
+def beginnings(docs: DataFrame) -> DataFrame:
+    """(_sg_text, _sg_known) of texts that begin like others: a text's key, and for its beginnings (``level``) how many other rows have the same, where some do."""
+    own = docs.filter("text <> ''").select(C.text_key(F.col("text")).alias("_sg_text"), F.col("text").cast("binary").alias("b"), F.octet_length("text").alias("n"))
+    last = f"CAST(CASE WHEN n <= {FIRST} THEN 0 ELSE length(bin((n - 1) DIV {FIRST})) END AS INT)"
+    keys = F.expr(f"transform(sequence(0, {last}), j -> xxhash64(substring(b, 1, CAST(least({FIRST} * shiftleft(1L, j), n) AS INT)), j))")
+    texts = C.cut(own.select("_sg_text", keys.alias("keys")).groupBy("_sg_text").agg(F.first("keys").alias("keys"), F.count("*").alias("c")))
+    each = texts.select("_sg_text", "c", F.posexplode("keys").alias("j", "key"))
+    again = each.groupBy("key").agg(F.sum("c").alias("rows")).filter("rows > 1")
+    return each.join(again, "key").groupBy("_sg_text").agg(F.collect_list(F.struct("j", (F.col("rows") - 1).alias("others"))).alias("_sg_known"))
+
+
+def confidence(known: pa.Array) -> np.ndarray:
+    """[rows, levels] of log-odds, in 16ths, that a text goes on as others do; 0 where none begin like it."""
+    kind = pa.list_(pa.struct([("j", pa.int32()), ("others", pa.int64())]))
+    known = known.cast(kind)
+    size = pc.fill_null(pc.list_value_length(known), 0).to_numpy(zero_copy_only=False)
+    flat = known.flatten()
+    out = np.zeros((len(known), 40), np.float32)
+    x = np.log((flat.field(1).to_numpy(zero_copy_only=False) + PRIOR[-1]) / PRIOR[-1]) * SCALE
+    out[np.repeat(np.arange(len(known)), size), flat.field(0).to_numpy(zero_copy_only=False)] = np.minimum(np.rint(x), 127)
+    return out
+
+
+def bits(words: list[np.ndarray], index: np.ndarray, sure: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Total bits of each of some texts, which must come longest first; index: of each byte's words; sure: each text's ``confidence``."""
+    lanes, n = len(starts), K
     total = np.zeros(lanes)
     weight = np.empty((n, lanes, 8), np.float32)
-    weight[:] = np.array(START, np.float32)[:n, None, None] / np.float32(SCALE)
+    weight[:] = np.array(START, np.float32)[:, None, None] / np.float32(SCALE)
     refine = np.zeros(lanes * 8 * REFINE_CELLS, np.float32)
     cell = (np.arange(lanes * 8, dtype=np.int64) * REFINE_CELLS).reshape(lanes, 8)
     rate, half = np.float32(RATE / SCALE), np.float32(0.5)
+    low, high, middle, learn = np.float32(-7.9), np.float32(7.9), np.float32(8.5), np.float32(REFINE_RATE)
     live = lanes
     for t0 in range(0, int(lengths[0]) if lanes else 0, STEPS):
         live = int(np.searchsorted(-lengths[:live], -t0, "left"))  # texts with more than t0 bytes
@@ -297,40 +299,36 @@ def bits(words: list[np.ndarray], index: list[np.ndarray], data: np.ndarray, sta
         w, c = weight[:, :live], cell[:live]
         when = np.arange(t0, t0 + steps)[:, None]
         at = np.minimum(starts[:live] + when, len(data) - 1)
-        now = data[at]
-        x = np.empty((steps, n, live, 8), np.float32)
-        for k in range(n):
-            x[:, k] = words[k].take(index[k][at]).view(np.int8).reshape(steps, live, 8)
+        now, pick = data[at], index[at]
         bit = BITS[now]
+        x = np.empty((steps, n, live, 8), np.float32)
+        for k in range(n - 1):
+            x[:, k] = words[k].take(pick).view(np.int8).reshape(steps, live, 8)
+        np.multiply(2 * bit - 1, sure[:live, level(t0)][None, :, None], out=x[:, n - 1])
         logit = np.empty((steps, live, 8), np.float32)
         tmp, mix, p = np.empty((n, live, 8), np.float32), np.empty((live, 8), np.float32), np.empty((live, 8), np.float32)
         where = np.empty((live, 8), np.int64)
         for t in range(steps):
-            xt, bt = x[t], bit[t]
+            xt, bt, out = x[t], bit[t], logit[t]
             np.multiply(w, xt, out=tmp)
             np.add.reduce(tmp, axis=0, out=mix)
             # refined
-            np.clip(mix, -7.9, 7.9, out=p)
-            p += np.float32(8.5)
+            np.maximum(mix, low, out=p)
+            np.minimum(p, high, out=p)
+            p += middle
             np.copyto(where, p, casting="unsafe")
             where += c
             r = refine.take(where)
-            out = logit[t]
             np.add(mix, r, out=out)
-            # p of a one is (1 + tanh(x / 2)) / 2
+            # p of a one is (1 + tanh(x / 2)) / 2; both the correction and the weights learn from what it misses
             np.multiply(out, half, out=p)
             np.tanh(p, out=p)
             p += 1
             p *= half
             np.subtract(bt, p, out=p)
-            p *= np.float32(REFINE_RATE)
-            r += p
+            np.multiply(p, learn, out=mix)
+            r += mix
             refine[where] = r
-            np.multiply(mix, half, out=p)
-            np.tanh(p, out=p)
-            p += 1
-            p *= half
-            np.subtract(bt, p, out=p)
             p *= rate
             np.multiply(xt, p, out=tmp)
             w += tmp
@@ -345,38 +343,33 @@ def bits(words: list[np.ndarray], index: list[np.ndarray], data: np.ndarray, sta
     return total / np.log(2)
 
 
-def score_column(model: list[Table], column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, total bits) of each row."""
-    data, offsets, _ = C.binary_parts(column)
-    size = np.diff(offsets)
+def score_column(model: list[Table], column: pa.Array, known: pa.Array | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, total bits) of each row; known: each row's ``_sg_known``."""
+    size = np.diff(C.binary_parts(column)[1])
+    sure = confidence(known) if known is not None else np.zeros((len(size), 40), np.float32)
     order = np.argsort(-size, kind="stable")
+    order = order[: int(np.count_nonzero(size))]
     out = np.zeros(len(size))
-    if not len(data):
-        return size, out
-    each = [pa.array(block(data, offsets[:-1], lo)).dictionary_encode() for lo in range(0, len(data), C.CHUNK_BYTES)]
-    each = pa.chunked_array(each).unify_dictionaries().chunks
-    seen = each[-1].dictionary.to_numpy()
-    words = [t.words(pairs(seen, k)) for k, t in enumerate(model[:-1])]
-    index = [np.concatenate([e.indices.to_numpy() for e in each])] * len(ORDERS)
-    del each, seen
-    at, keys = word_starts(data, offsets)
-    long = model[-1].words(keys)
-    known = np.flatnonzero(long)
-    words.append(np.r_[np.zeros(1, np.uint64), long[known]])
-    index.append(np.zeros(len(data), np.int32))
-    index[-1][at[known]] = np.arange(1, len(known) + 1)
-    del at, keys, long, known
-    for i in range(0, len(order), LANES):
-        pick = order[i : i + LANES]
-        if size[pick[0]]:
-            out[pick] = bits(words, index, data, offsets[pick], size[pick])
+    upto, at = np.cumsum(size[order]), 0
+    while at < len(order):
+        end = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + GROUP, "right"))
+        pick = order[at : min(max(end, at + 1), at + LANES)]
+        at += len(pick)
+        data, offsets, _ = C.binary_parts(column.take(pa.array(pick)))
+        each = [pa.array(block(data, offsets[:-1], lo)).dictionary_encode() for lo in range(0, len(data), C.CHUNK_BYTES)]
+        each = pa.chunked_array(each).unify_dictionaries().chunks
+        seen = each[-1].dictionary.to_numpy()
+        words = [t.words(pairs(seen, t.k)) for t in model]
+        index = np.concatenate([e.indices.to_numpy() for e in each])
+        del each, seen
+        out[pick] = bits(words, index, sure[pick], data, offsets[:-1], size[pick])
     return size, out
 
 
 def _scorer(model: list[Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, total = score_column(model, b.column(1))
+            size, total = score_column(model, b.column(1), b.column(2))
             each = pa.array(total / np.maximum(size, 1), mask=size == 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size), pa.array(total), each], names=["doc_id", "n_bytes", "total_bits", "bits_per_byte"])
 
@@ -384,10 +377,17 @@ def _scorer(model: list[Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def score(docs: DataFrame, tables: list[Table] | None = None) -> DataFrame:
-    """(doc_id, n_bytes, total_bits, bits_per_byte) for every row, by a model of ``docs`` or a given one."""
-    model = train(docs) if tables is None else tables
+    """(doc_id, n_bytes, total_bits, bits_per_byte) for every row, by a model of ``docs`` or given tables (to which all beginnings are new)."""
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("total_bits", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
-    return docs.select("doc_id", "text").mapInArrow(_scorer(model), schema)
+    if tables is None:
+        tables = train(docs)
+        known = C.cut(beginnings(docs))
+        if known.count() * 256 <= C.BROADCAST_BYTES:
+            known = F.broadcast(known)
+        rows = docs.select("doc_id", "text", C.text_key(F.col("text")).alias("_sg_text")).join(known, "_sg_text", "left").select("doc_id", "text", "_sg_known")
+    else:
+        rows = docs.select("doc_id", "text", F.lit(None).cast("array<struct<j:int,others:bigint>>").alias("_sg_known"))
+    return rows.mapInArrow(_scorer(tables), schema)
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
