@@ -379,6 +379,7 @@ def _scorer(model: list[Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator
 def score(docs: DataFrame, tables: list[Table] | None = None) -> DataFrame:
     """(doc_id, n_bytes, total_bits, bits_per_byte) for every row, by a model of ``docs`` or given tables (to which all beginnings are new)."""
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("total_bits", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
+    C.batches(docs.sparkSession, 10_000, 64 << 20)  # many texts in step are what makes scoring fast
     if tables is None:
         tables = train(docs)
         known = C.cut(beginnings(docs))
