@@ -11,19 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from srcgraph.llm import common as C
 from srcgraph.llm import decontaminate, mixing, near_dedup, quality, tokens
 
+#: Rows and bytes that go to Python at once: stages share executors, whose workers live on from one to the next.
+BATCH = (2000, 4 << 20)
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones among ``docs``, doesn't reject."""
+    C.batches(spark, *BATCH)
     return quality.drop_low_quality(docs, C.table(spark, sf_dir, "labels"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, and all that have none."""
+    C.batches(spark, *BATCH)
     return near_dedup.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of ``benchmark`` within its error budget."""
+    C.batches(spark, *BATCH)
     return decontaminate.drop_leaks(docs, C.table(spark, sf_dir, "benchmark"))
 
 
@@ -34,6 +40,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token ids in Simple-8b words."""
+    C.batches(spark, *BATCH)
     return tokens.token_ids(docs)
 
 
