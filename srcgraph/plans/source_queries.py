@@ -109,9 +109,10 @@ def parsed_call_counts(spark, d):
  UNION ALL SELECT dotted || '.c' || k, CASE WHEN l_linenumber = 2 AND l_returnflag <> 'R' THEN 'b' ELSE 'a' END, 1 FROM calls WHERE l_returnflag = 'R' OR l_linenumber <> 4
  UNION ALL SELECT dotted || '.G' || g || f, x, 1 FROM files, (VALUES ('.__init__', 'x'), ('.grow', 'self'), ('.grow', 'by'), ('.grow', 'times'), ('.grow', 'by'), ('.grow', 'self')) w(f, x)
  UNION ALL SELECT dotted || '.G' || g || '.__init__', 'self', 1 FROM files)
-SELECT s AS callable_signature, name, CAST(sum(n) AS BIGINT) AS n FROM names GROUP BY ALL""")
+SELECT s AS callable_signature, name, CASE WHEN regexp_full_match(name, 'lib\\d+|Root') THEN 'module' WHEN regexp_full_match(name, 'G\\d+') THEN 'class' WHEN regexp_full_match(name, 'c\\d+') THEN 'function'
+ WHEN name IN ('a', 'b', 'x', 'self', 'by', 'times') THEN 'parameter' ELSE 'variable' END AS kind, CASE WHEN regexp_full_match(name, 'lib\\d+|Root') THEN 'global' ELSE 'local' END AS scope, false AS is_builtin, CAST(sum(n) AS BIGINT) AS n FROM names GROUP BY ALL""")
 def accessed_symbols(spark, d):
-    return _rel(spark, d, "accessed_symbols").groupBy("callable_signature", "name").agg(F.count("*").alias("n"))
+    return _rel(spark, d, "accessed_symbols").groupBy("callable_signature", "name", "kind", "scope", "is_builtin").agg(F.count("*").alias("n"))
 
 
 def resolved_edges(spark, d):
@@ -193,9 +194,32 @@ def script_batches(spark, d):
     return s.select(label.alias("label"), "batch", "n")
 
 
-@source(" SELECT file_key, sha256(file_key) AS key_hash FROM files")
+@source(_SITES + """, r(file_key, relation, line) AS (
+ SELECT file_key, 'callables', dotted || '.c' || k || ' ' || (2 + 2 * (k % 2)) FROM fns UNION ALL SELECT file_key, 'callables', dotted || '.G' || g || f FROM files, (VALUES ('.__init__ 1'), ('.grow 4')) t(f)
+ UNION ALL SELECT file_key, 'classes', dotted || '.G' || g || ' Base' FROM files
+ UNION ALL SELECT file_key, 'imports', 'lib' || i || ' lib' || i FROM files, range(1, 51) t(i) UNION ALL SELECT file_key, 'imports', '.g' || m || ' Root' FROM files UNION ALL SELECT file_key, 'imports', x FROM files, (VALUES ('tools saw'), ('tools h')) t(x)
+ UNION ALL SELECT file_key, 'attributes', dotted || '.G' || g || x FROM files, (VALUES ('.size int'), ('.kind str')) t(x)
+ UNION ALL SELECT file_key, 'parameters', dotted || '.c' || k || p FROM fns, (VALUES ('.a'), ('.b'), ('.rest'), ('.k'), ('.kw')) t(p)
+ UNION ALL SELECT file_key, 'parameters', dotted || '.G' || g || p FROM files, (VALUES ('.__init__.self'), ('.__init__.x'), ('.grow.self'), ('.grow.by'), ('.grow.times')) t(p)
+ UNION ALL SELECT file_key, 'call_sites', caller || ' ' || method_name || ' ' || coalesce(callee, '') FROM sites JOIN fns ON caller = dotted || '.c' || k)
+SELECT file_key, relation, count(*) AS n, sha256(string_agg(line, '|' ORDER BY line)) AS digest FROM r GROUP BY ALL""")
 def module_documents(spark, d):
+    """The modules' nested documents, taken apart again: every row of seven relations."""
     from srcgraph.sources import sinks
 
-    docs = sinks.module_documents(model(spark, d))
-    return docs.select("file_key", N.sha256(F.get_json_object("document", "$.file_path")).alias("key_hash"))
+    lines = sinks.module_documents(model(spark, d)).select(F.lit("module").alias("kind"), F.col("file_key").alias("key"), F.col("document").alias("value"))
+    back = sinks.relations_of(lines)
+    text = {
+        "callables": ("signature", "cyclomatic_complexity"),
+        "classes": ("signature", F.array_join("base_classes", "|")),
+        "imports": ("module", "name"),
+        "call_sites": ("caller_signature", "method_name", F.coalesce("callee_signature", F.lit(""))),
+    }
+    line = {n: F.concat_ws(" ", *c) for n, c in text.items()}
+    line["attributes"] = F.concat(F.concat_ws(".", "class_signature", "name"), F.lit(" "), "type")
+    line["parameters"] = F.concat_ws(".", "callable_signature", "name")
+    every = None
+    for n, c in line.items():
+        part = back[n].select("file_key", F.lit(n).alias("relation"), c.alias("line"))
+        every = part if every is None else every.union(part)
+    return every.groupBy("file_key", "relation").agg(F.count("*").alias("n"), N.sha256(F.array_join(F.array_sort(F.collect_list("line")), "|")).alias("digest"))
