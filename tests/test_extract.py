@@ -108,3 +108,39 @@ class A:
         assert not any(v for k, v in extract_module(source, "m.py", only=frozenset([name])).items() if k != name)
     assert all(r["code"] is None for r in extract_module(source, "m.py", only=frozenset(["callables"]), code=False)["callables"])
     assert [(c["owner_id"], c["content"]) for c in every["comments"] if c["owner_kind"] == "attribute"] == [("m.A.size", "How large.")]
+
+
+def test_short_unparse_says_what_ast_does():
+    import ast
+    import inspect
+    import textwrap
+
+    from srcgraph.operators.extract import unparse
+
+    own = "@d(1)\nasync def f(a, b: int = -1, *c, **d) -> x.y:\n    'doc'\n    g('a\\nb')(k).m(1.5)\n    if a:\n        return\n    elif b:\n        s = f'''{a}\n'''\n    t = (1,)\n    return t[0]\n"
+    for source in (own, *(textwrap.dedent(inspect.getsource(m)) for m in (textwrap, inspect, ast))):
+        for node in ast.walk(ast.parse(source)):
+            if isinstance(node, (ast.stmt, ast.expr)):
+                assert unparse(node) == ast.unparse(node)
+
+
+def test_files_are_taken_a_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from srcgraph.operators import extract as E
+
+    monkeypatch.setattr(E, "PART_BYTES", 10)
+    batch = pa.RecordBatch.from_pydict({"k": list("abcde"), "source": ["x" * 4, "x" * 7, None, "x" * 30, "x"]})
+    assert [p.column(0).to_pylist() for p in E._parts(batch)] == [["a", "b"], ["c", "d"], ["e"]]
+
+
+def test_bodies_are_bound_only_where_their_names_are_asked_for(monkeypatch):
+    from srcgraph.operators import extract as E
+
+    bound, plain = [], E._File.bind_body
+    monkeypatch.setattr(E._File, "bind_body", lambda self, scope, body: bound.append(scope.name) or plain(self, scope, body))
+    source = "class A:\n    x: int = 1\ndef f(a):\n    return g(a)\n"
+    extract_module(source, "m.py", only=frozenset(["classes", "callables", "imports"]))
+    assert bound == ["m"]
+    extract_module(source, "m.py", only=frozenset(["call_sites"]))
+    assert bound == ["m", "m", "m.f"]
