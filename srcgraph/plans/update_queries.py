@@ -9,6 +9,7 @@ from srcgraph.operators import propgraph, shards, store
 from srcgraph.operators.extract import extract
 from srcgraph.plans import testdata as T
 from srcgraph.plans.fact_queries import module_graph
+from srcgraph.runtime import stored, wide
 from srcgraph.sources import cache
 
 QUERIES: dict = {}
@@ -82,9 +83,9 @@ def incremental_equals_full(spark, d):
     """Half the files from a cache, the others extracted: the same relations as a full extraction."""
     from srcgraph.operators.relations import relation
 
-    files = T.source_files(spark, d)
-    cached = extract(files.filter("crc32(CAST(file_key AS BINARY)) % 2 = 0"))
-    return relation(cache.extract_changed(files, cached), "callables").select("file_key", "signature")
+    files = stored(T.source_files(spark, d))
+    cached = stored(extract(files.filter("crc32(CAST(file_key AS BINARY)) % 2 = 0").repartition(wide(spark), "file_key"), only=["callables"]))
+    return relation(cache.extract_changed(files, cached, only=["callables"]), "callables").select("file_key", "signature")
 
 
 @query()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,9 +34,10 @@ def write_cache(extracted: DataFrame, path: str) -> None:
         runtime.remove(spark, f"{path}/{old}")
 
 
-def extract_changed(files: DataFrame, cached: DataFrame | None, compat: bool = False) -> DataFrame:
-    """The extraction of ``files``, taking from the cache what hasn't changed; files that are gone drop out."""
+def extract_changed(files: DataFrame, cached: DataFrame | None, compat: bool = False, only: Iterable[str] | None = None) -> DataFrame:
+    """The extraction of ``files``, taking from the cache what hasn't changed; files that are gone drop out. ``only``: the relations that are wanted, which ``cached`` must have."""
     if cached is None:
-        return extract(files, compat=compat)
+        return extract(files, compat=compat, only=only)
     same = unchanged(files, cached)
-    return cached.join(same, "file_key", "left_semi").unionByName(extract(files.join(same, "file_key", "left_anti"), compat=compat))
+    new = extract(files.join(same, "file_key", "left_anti").repartition(runtime.wide(files.sparkSession), "file_key"), compat=compat, only=only)
+    return cached.join(same, "file_key", "left_semi").select(*new.columns).unionByName(new)
