@@ -96,7 +96,8 @@ def coupling_plan(spark, d):
 
 @query()
 def coupling_plan_metrics(spark, d):
-    return shards.metrics(coupling_plan(spark, d), module_graph(spark, d), budget=6)
+    graph = module_graph(spark, d)
+    return shards.metrics(shards.plan_shards(T.modules(spark, d), graph, budget=6), graph, budget=6)
 
 
 def _values(rows) -> str:
