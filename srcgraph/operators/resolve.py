@@ -92,7 +92,8 @@ def resolve_calls(extracted: DataFrame) -> DataFrame:
     member = asked.withColumn("_head", N.parent(F.col("callee_ref"))).withColumn("_attr", N.last_part(F.col("callee_ref"))).join(head, "_head")
     inherited = member.join(up, F.col("_class") == F.col("signature")).select("callee_ref", "ref_kind", F.concat("ancestor", F.lit("."), "_attr").alias("dotted"), "rank")
     inherited = inherited.join(names.filter("kind = 'callable'").select("dotted", F.col("signature").alias("_up")), "dotted").groupBy("callee_ref", "ref_kind").agg(F.min_by("_up", "rank").alias("_up"))
-    s = sites.join(found.select(F.col("ref").alias("callee_ref"), F.col("at").alias("_at"), F.col("signature").alias("_sig"), F.col("kind").alias("_kind")), "callee_ref", "left")
+    # each reference is looked up once, and sites take what it is by one join
+    s = asked.join(found.select(F.col("ref").alias("callee_ref"), F.col("at").alias("_at"), F.col("signature").alias("_sig"), F.col("kind").alias("_kind")), "callee_ref", "left")
     s = s.join(inherited, ["callee_ref", "ref_kind"], "left")
     s = s.join(head.select(F.col("_head").alias("_h"), F.lit(True).alias("_in")), N.parent(F.col("callee_ref")) == F.col("_h"), "left")
     outside = F.col("ref_kind").isin("import", "builtin", "instance") | (F.col("ref_kind") == "member") & F.col("_in").isNull()
@@ -105,4 +106,8 @@ def resolve_calls(extracted: DataFrame) -> DataFrame:
         .when(outside, F.col("_at"))
     )
     ctor = (F.col("ref_kind") != "super") & ((F.col("_kind") == "class") | F.col("callee_ref").isin(*BUILTIN_CLASSES))
-    return s.select(*[c for c in sites.columns if c not in ("callee_ref", "ref_kind")], target.alias("callee_signature"), F.coalesce(ctor, F.lit(False)).alias("is_constructor_call"))
+    known = s.select(F.col("callee_ref").alias("_ref"), F.col("ref_kind").alias("_how"), target.alias("callee_signature"), F.coalesce(ctor, F.lit(False)).alias("is_constructor_call"))
+    # sites without a reference are spread: they match nothing, and would else all go to one task
+    key = F.coalesce("callee_ref", F.concat(F.lit(" "), F.pmod(F.xxhash64("caller_signature", "ord"), F.lit(1 << 20)).cast("string")))
+    out = sites.withColumn("_key", key).join(known, (F.col("_key") == F.col("_ref")) & (F.col("ref_kind") == F.col("_how")), "left")
+    return out.select(*[c for c in sites.columns if c not in ("callee_ref", "ref_kind")], "callee_signature", F.coalesce("is_constructor_call", F.lit(False)).alias("is_constructor_call"))

@@ -21,3 +21,13 @@ def test_constructors_meet_classes_by_name_and_prefix(spark):
     assert {(r.caller_signature, r.callee_signature) for r in out.collect()} == {("r.n12.f", "r.n1.S.__init__"), ("q.f", "S.__init__"), ("r.n1.S", "t")}
     assert "StartsWith" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert G.resolve_constructors(sites, classes.filter(F.lit(False))).filter("callee_signature IS NOT NULL").count() == 1
+
+
+def test_sites_are_joined_to_what_they_call_once(spark):
+    from srcgraph.operators import resolve
+    from srcgraph.operators.extract import extract
+
+    df = spark.createDataFrame([("m.py", "def f(): pass\ndef g():\n    f()\n    unknown()\n")], "file_key string, source string").selectExpr("file_key", "source", "0D AS last_modified", "1L AS file_size", "'h' AS content_hash", "CAST(NULL AS STRING) AS error")
+    out = resolve.resolve_calls(extract(df))
+    assert {(r.method_name, r.callee_signature, r.is_constructor_call) for r in out.collect()} == {("f", "m.f", False), ("unknown", None, False)}
+    assert "xxhash64" in out._jdf.queryExecution().optimizedPlan().toString()
