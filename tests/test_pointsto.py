@@ -74,3 +74,45 @@ def test_where_nothing_plans_again_there_is_no_limit_on_facts(spark, monkeypatch
     for q in (source_queries.pointsto_edges, source_queries.level2_call_graph):
         assert {(r.source, r.target) for r in q(spark, "").collect()} == {("d.a.main", "d.a.f")}
     assert limits == [None, None]
+
+
+def rendered(spark, sources):
+    return spark.createDataFrame(list(sources.items()), "file_key string, source string").selectExpr("file_key", "source", "0D AS last_modified", "1L AS file_size", "'h' AS content_hash", "CAST(NULL AS STRING) AS error")
+
+
+PACKAGE = {
+    "p/root.py": "class Root:\n    def __init__(self, x): self.x = x\n    def grow(self, by): return self\ndef own(): return Root(1).grow(2)\n",
+    **{f"p/m{i}.py": f"from .root import Root as R\nimport lib\ndef f{i}(g=None):\n    R(1).grow(2).grow(3)\n    lib.call(g)\n    h{i}()\ndef h{i}(): pass\n" for i in range(6)},
+}
+
+
+def test_files_are_solved_beside_what_they_import_in_parts_of_bounded_size(spark):
+    x = extract(rendered(spark, PACKAGE))
+    sizes, want = {r.file_key: r.n for r in x.selectExpr("file_key", "size(flows) AS n").collect()}, solve_sources(PACKAGE)
+    parts = pointsto.plan_parts(sizes, [(f, "p/root.py") for f in sizes], 60)
+    assert len({s for _, s, _, _ in parts}) >= 3 and sorted(f for f, _, own, _ in parts if own) == sorted(sizes)
+    most = max(sum(sizes[f] for f, s, own, _ in parts if s == shard and own) for shard in {s for _, s, _, _ in parts})
+    assert most <= 60 < sum(sizes.values())
+    assert {(r.source, r.target) for r in pointsto.whole_edges(x, part_rows=60).collect()} == want and len(want) > 20
+    assert {(r.source, r.target) for r in pointsto.whole_edges(x).collect()} == want
+
+
+def test_what_one_file_hands_to_another_by_an_imported_one_is_found(spark):
+    more = {
+        "p/base.py": "class Box: pass\nbox = Box()\ndef keep(f): box.f = f\ndef run(f): f()\nclass A:\n    def go(self): self.step()\n    def step(self): pass\n",
+        "p/give.py": "from .base import keep\ndef given(): pass\ndef give(): keep(given)\n",
+        "p/take.py": "from .base import box\ndef take(): box.f()\n",
+        "p/sub.py": "from .base import A, run\nclass B(A):\n    def step(self): pass\ndef main():\n    B().go()\n    run(main)\n",
+        "q/user.py": "import p\ndef use(): p.take.take()\n",
+        "p/__init__.py": "from . import take\n",
+    }
+    sources = PACKAGE | more
+    got = {(r.source, r.target) for r in pointsto.whole_edges(extract(rendered(spark, sources)), part_rows=40).collect()}
+    assert {("p.take.take", "p.give.given"), ("p.base.A.go", "p.sub.B.step"), ("p.base.run", "p.sub.main"), ("q.user.use", "p.take.take")} <= got
+    assert got == solve_sources(sources)
+
+
+def test_parts_whose_imports_are_tangled_stay_whole():
+    sizes = {f"f{i}": 10 for i in range(30)}
+    parts = pointsto.plan_parts(sizes, [(f"f{i}", f"f{j}") for i in range(30) for j in range(i)], 20)
+    assert {s for _, s, _, _ in parts} == {0} and all(own for _, _, own, _ in parts)
