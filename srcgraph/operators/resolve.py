@@ -76,19 +76,18 @@ def ancestors(classes: DataFrame, found: DataFrame) -> DataFrame:
     return every.groupBy("signature", "ancestor").agg(F.min("rank").alias("rank"))
 
 
-def resolve_calls(extracted: DataFrame) -> DataFrame:
-    """The call sites with ``callee_signature`` and ``is_constructor_call``."""
-    sites = relation(extracted, "call_sites")
+def references(extracted: DataFrame) -> DataFrame:
+    """(_ref, _how, callee_signature, is_constructor_call): what each distinct (callee_ref, ref_kind) of the call sites is; of constructor calls, none is without a callee."""
     classes = relation(extracted, "classes")
+    asked = R.cut(relation(extracted, "call_sites").filter("callee_ref IS NOT NULL").select("callee_ref", "ref_kind").distinct())
     names, bindings = R.cut(defined_names(extracted)), relation(extracted, "bindings").select("dotted", "target")
-    own = sites.filter("callee_ref IS NOT NULL").select(F.col("callee_ref").alias("ref"))
+    own = asked.select(F.col("callee_ref").alias("ref")).distinct()
     heads = own.select(N.parent(F.col("ref")).alias("ref")).filter("ref <> ''")
     refs = own.union(heads).union(classes.select(F.explode("base_refs")).filter("col IS NOT NULL")).distinct()
     found = R.cut(resolve_names(refs, names, bindings))
     up = ancestors(classes, found)
     # a method that the class itself doesn't define, or that super() asks the ancestors for
     head = found.filter("kind = 'class'").select(F.col("ref").alias("_head"), F.col("signature").alias("_class"))
-    asked = sites.filter("callee_ref IS NOT NULL").select("callee_ref", "ref_kind").distinct()
     member = asked.withColumn("_head", N.parent(F.col("callee_ref"))).withColumn("_attr", N.last_part(F.col("callee_ref"))).join(head, "_head")
     inherited = member.join(up, F.col("_class") == F.col("signature")).select("callee_ref", "ref_kind", F.concat("ancestor", F.lit("."), "_attr").alias("dotted"), "rank")
     inherited = inherited.join(names.filter("kind = 'callable'").select("dotted", F.col("signature").alias("_up")), "dotted").groupBy("callee_ref", "ref_kind").agg(F.min_by("_up", "rank").alias("_up"))
@@ -106,8 +105,24 @@ def resolve_calls(extracted: DataFrame) -> DataFrame:
         .when(outside, F.col("_at"))
     )
     ctor = (F.col("ref_kind") != "super") & ((F.col("_kind") == "class") | F.col("callee_ref").isin(*BUILTIN_CLASSES))
-    known = s.select(F.col("callee_ref").alias("_ref"), F.col("ref_kind").alias("_how"), target.alias("callee_signature"), F.coalesce(ctor, F.lit(False)).alias("is_constructor_call"))
+    return s.select(F.col("callee_ref").alias("_ref"), F.col("ref_kind").alias("_how"), target.alias("callee_signature"), F.coalesce(ctor, F.lit(False)).alias("is_constructor_call"))
+
+
+def with_callees(sites: DataFrame, known: DataFrame) -> DataFrame:
+    """Call sites with what their ``references`` are."""
     # sites without a reference are spread: they match nothing, and would else all go to one task
     key = F.coalesce("callee_ref", F.concat(F.lit(" "), F.pmod(F.xxhash64("caller_signature", "ord"), F.lit(1 << 20)).cast("string")))
     out = sites.withColumn("_key", key).join(known, (F.col("_key") == F.col("_ref")) & (F.col("ref_kind") == F.col("_how")), "left")
     return out.select(*[c for c in sites.columns if c not in ("callee_ref", "ref_kind")], "callee_signature", F.coalesce("is_constructor_call", F.lit(False)).alias("is_constructor_call"))
+
+
+def callees(sites: DataFrame, known: DataFrame) -> DataFrame:
+    """(source, target, weight) of the sites that have a callee, counted by reference before they are joined."""
+    n = sites.filter("callee_ref IS NOT NULL").groupBy("caller_signature", "callee_ref", "ref_kind").agg(F.count("*").alias("n"))
+    e = n.join(known.filter("callee_signature <> ''"), (F.col("callee_ref") == F.col("_ref")) & (F.col("ref_kind") == F.col("_how")))
+    return e.groupBy(F.col("caller_signature").alias("source"), F.col("callee_signature").alias("target")).agg(F.sum("n").alias("weight"))
+
+
+def resolve_calls(extracted: DataFrame) -> DataFrame:
+    """The call sites with ``callee_signature`` and ``is_constructor_call``."""
+    return with_callees(relation(extracted, "call_sites"), references(extracted))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from srcgraph.functions import names as N
 from srcgraph.operators import callgraph, pointsto, relations, resolve, shards
 from srcgraph.operators.extract import extract
-from srcgraph.runtime import cut, remove
+from srcgraph.runtime import cut, remove, sized
 from srcgraph.sources import cache
 from srcgraph.sources.project import list_files, read_project
 
@@ -106,12 +106,23 @@ class CodeModel:
     attributes = property(lambda self: self._rel("attributes"))
 
     @cached_property
+    def references(self) -> DataFrame:
+        """What distinct references are; to be broadcast where they are few."""
+        return sized(cut(resolve.references(self.extracted)), 256)
+
+    @property
     def call_sites(self) -> DataFrame:
-        return cut(callgraph.resolve_constructors(resolve.resolve_calls(self.extracted), self.classes))
+        """Joined where it is used, so that only the columns in use are moved. ``references`` leaves no constructor without a callee to be looked for."""
+        return resolve.with_callees(self.open_call_sites, self.references)
+
+    @property
+    def open_call_sites(self) -> DataFrame:
+        """The call sites with references instead of callees."""
+        return self._rel("call_sites")
 
     @cached_property
     def level_1(self) -> DataFrame:
-        return cut(callgraph.call_edges(self.call_sites))
+        return cut(callgraph.typed(resolve.callees(self.open_call_sites, self.references)))
 
     @cached_property
     def module_graph(self) -> DataFrame:
@@ -154,13 +165,19 @@ class CodeModel:
 
     @cached_property
     def call_edges(self) -> DataFrame:
-        e = self.level_1 if self.options.level < 2 else callgraph.merge_edges(self.level_1, self.level_2)
-        return cut(callgraph.app_edges(e, relations.declared_signatures(self.callables, self.classes)))
+        if self.options.level < 2:  # a site's caller is a callable of its file, so that each edge has an end in the project
+            return self.level_1
+        return cut(callgraph.app_edges(callgraph.merge_edges(self.level_1, self.level_2), relations.declared_signatures(self.callables, self.classes)))
 
     @cached_property
     def external_symbols(self) -> DataFrame:
         return callgraph.external_symbols(self.call_edges, relations.declared_signatures(self.callables, self.classes))
 
+    @cached_property
+    def ends(self) -> DataFrame:
+        """(signature, kind, name, module) of the call edges' ends."""
+        return cut(callgraph.endpoint_kinds(self.call_edges, self.external_symbols, relations.declared_signatures(self.callables, self.classes)))
+
 
 class Engine:
     """``with Engine(spark, Options(...)) as e: model = e.analyze()``"""

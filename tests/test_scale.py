@@ -31,3 +31,39 @@ def test_sites_are_joined_to_what_they_call_once(spark):
     out = resolve.resolve_calls(extract(df))
     assert {(r.method_name, r.callee_signature, r.is_constructor_call) for r in out.collect()} == {("f", "m.f", False), ("unknown", None, False)}
     assert "xxhash64" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_and_labels_look_at_no_properties(spark, sf):
+    """The graph's keys come from a model that has neither comments, parameters, accessed symbols nor code; sites are not in the gate of symbols."""
+    from srcgraph.operators import propgraph
+    from srcgraph.plans import source_queries as Q
+
+    m, whole = Q.model(spark, sf, *Q.KEYS), Q.model(spark, sf)
+    assert not {"comments", "parameters", "accessed_symbols"} & set(m.extracted.columns)
+    row = lambda df, *names: sorted(map(tuple, df.select(*names).collect()), key=str)
+    nodes, edges = propgraph.project(whole, "app")
+    labels = propgraph.merged_labels(propgraph.nodes(m, "app", props=False))
+    assert row(labels, "labels", "value") == row(nodes, "labels", "value")
+    names = [c for c in edges.columns if c not in ("props", "ord")]
+    assert row(propgraph.edges(m, "app"), *names) == row(edges, *names)
+    assert propgraph.gate(edges.filter("type = 'PY_CALLS'"), nodes).count() == edges.filter("type = 'PY_CALLS'").count() > 0
+
+
+def test_merged_labels_keep_the_order_in_which_labels_came(spark):
+    from srcgraph.operators import propgraph
+
+    part = lambda label, *rows: spark.createDataFrame([(["PySymbol", label], v, "signature", o) for v, o in rows], "labels array<string>, value string, key_prop string, ord int").withColumn("props", F.create_map().cast("map<string,string>"))
+    parts = {"PyClass": part("PyClass", ("a", 2), ("b", 1), ("b", 5)), "PyCallable": part("PyCallable", ("a", 1), ("c", 1)), "PyExternal": part("PyExternal", ("b", 0))}
+    got = {r.value: r.labels for r in propgraph.merged_labels(parts).collect()}
+    want = {r.value: r.labels for r in propgraph.merge_nodes(parts["PyClass"].union(parts["PyCallable"]).union(parts["PyExternal"])).collect()}
+    assert got == want and got["a"] == ["PySymbol", "PyCallable", "PyClass"]
+
+
+def test_edges_are_counted_by_reference_before_they_are_joined(spark, sf):
+    from srcgraph.operators import resolve
+    from srcgraph.plans import source_queries as Q
+
+    m = Q.model(spark, sf, *Q.NAMES)
+    want = {(r.source, r.target, r.weight) for r in G.call_edges(resolve.resolve_calls(m.extracted)).collect()}
+    assert {(r.source, r.target, r.weight) for r in m.call_edges.collect()} == want and want
+    assert m.references.filter("is_constructor_call AND coalesce(callee_signature, '') = ''").isEmpty()
