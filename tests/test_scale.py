@@ -67,3 +67,27 @@ def test_edges_are_counted_by_reference_before_they_are_joined(spark, sf):
     want = {(r.source, r.target, r.weight) for r in G.call_edges(resolve.resolve_calls(m.extracted)).collect()}
     assert {(r.source, r.target, r.weight) for r in m.call_edges.collect()} == want and want
     assert m.references.filter("is_constructor_call AND coalesce(callee_signature, '') = ''").isEmpty()
+
+
+def _model(spark, **sources):
+    from srcgraph.operators.extract import extract
+    from srcgraph.plans.engine import CodeModel
+
+    df = spark.createDataFrame([(f"{k}.py", v) for k, v in sources.items()], "file_key string, source string").selectExpr("file_key", "source", "0D AS last_modified", "1L AS file_size", "'h' AS content_hash", "CAST(NULL AS STRING) AS error")
+    return CodeModel(spark, extract(df))
+
+
+def test_documents_are_made_of_a_files_row(spark):
+    import json
+
+    from srcgraph.sources import sinks
+
+    m = _model(spark, a="from b import f, C\nX = 'é'  # note\ndef g(p=1):\n    f(p)\n    C()\n    nobody()\n", b="class C: pass\ndef f(x): return x\n", empty="", bad="def (")
+    df = sinks.module_documents(m)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan and "to_json" not in plan and "structstojson" not in plan.lower()
+    docs = {r.file_key: json.loads(r.document) for r in df.collect()}
+    assert set(docs) == {"a.py", "b.py", "empty.py"} and docs["empty.py"]["functions"] == {}
+    sites = docs["a.py"]["functions"]["g"]["call_sites"]
+    assert [(s["method_name"], s["callee_signature"], s["is_constructor_call"]) for s in sites] == [("f", "b.f", False), ("C", "b.C.__init__", True), ("nobody", None, False)]
+    assert docs["a.py"]["variables"][0]["initializer"] == "'é'" and docs["a.py"]["comments"][0]["content"] == "note"
