@@ -91,3 +91,12 @@ def test_documents_are_made_of_a_files_row(spark):
     sites = docs["a.py"]["functions"]["g"]["call_sites"]
     assert [(s["method_name"], s["callee_signature"], s["is_constructor_call"]) for s in sites] == [("f", "b.f", False), ("C", "b.C.__init__", True), ("nobody", None, False)]
     assert docs["a.py"]["variables"][0]["initializer"] == "'é'" and docs["a.py"]["comments"][0]["content"] == "note"
+
+
+def test_statements_make_their_rows_once(spark):
+    from srcgraph.operators import propgraph
+    from srcgraph.sources import sinks
+
+    nodes, _ = propgraph.project(_model(spark, a="def f(): pass\ndef g(): f()\n"), "app")
+    plan = sinks.node_statements(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max_by" not in plan and sum(r.n for r in sinks.node_statements(nodes, 2).collect()) == nodes.count() > 4
